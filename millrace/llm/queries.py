@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, simhash
+from . import hnsw, packing, secrets, sharding, simhash, topk
 from .common import tables
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(tables(spark, sf_dir, "embeddings"))
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(tables(spark, sf_dir, "documents"))
 
@@ -22,10 +26,23 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
+def op7_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(tables(spark, sf_dir, "embeddings"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(tables(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+    "op7_hnsw_neighbours": op7_hnsw_neighbours,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": topk.ORACLE,
+}
