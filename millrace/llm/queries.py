@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, packing, secrets, sharding, simhash, topk
+from . import hnsw, html, packing, secrets, sharding, simhash, store, topk
 from .common import tables
 
 
@@ -26,10 +26,18 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
+def op6_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.round_trip(tables(spark, sf_dir, "documents"))
+
+
 def op7_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(tables(spark, sf_dir, "embeddings"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(tables(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(tables(spark, sf_dir, "documents"))
 
@@ -39,7 +47,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+    "op6_content_addressed_store": op6_content_addressed_store,
     "op7_hnsw_neighbours": op7_hnsw_neighbours,
+    "op8_html_extraction": op8_html_extraction,
     "op10_secret_scan": op10_secret_scan,
 }
 
