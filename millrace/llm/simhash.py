@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stored
+from .common import bound_batches, join_small, stored
 from .graph import components
 
 #: Parts of a fingerprint, as (lowest bit, bits).
@@ -176,6 +176,15 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return met.mapInArrow(verify, "u long, v long")
 
 
+def _classes(each: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id, root): each is (doc_id, fp), stored."""
+    nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(stored(links(nodes.select("fp"), radius), "links"))
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return stored(named.join(names, "root").select("fp", "component_id", "root"), "components")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs.
 
@@ -185,9 +194,36 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     fingerprints are one node, so a group of copies costs one.
     """
     each = stored(fingerprints(docs, width), "fingerprints")
-    nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(stored(links(nodes.select("fp"), radius), "links"))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(named.join(names, "root").select("fp", "component_id"), "components")
+    named = _classes(each, radius)
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """One row of docs for each class of near-duplicates: that of the smallest doc_id, all columns as they were.
+
+    Null ids come last, equal ids are told apart by a hash of their texts, and
+    of rows equal in id and text one stays.  Only the rows that go are joined
+    with the documents.
+    """
+    keys = {"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_n": F.col("doc_id").isNull(), "_h": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+    bound_batches(docs.sparkSession)
+
+    def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        lanes, hasher = _lanes(), xxhash.xxh64_intdigest
+        for batch in batches:
+            found = np.fromiter((fingerprint(t.as_py(), width, hasher, lanes) for t in batch.column("text")), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("_i"), batch.column("_n"), batch.column("_h"), pa.array(found.view(np.int64))], names=["_i", "_n", "_h", "fp"])
+
+    texts = docs.select(*[x.alias(k) for k, x in keys.items()], F.col("text").cast("string").alias("text"))
+    each = stored(texts.mapInArrow(each_row, "_i long, _n boolean, _h long, fp long"), "fingerprints")
+    named = _classes(each.select(F.when(~F.col("_n"), F.col("_i")).alias("doc_id"), "fp"), radius)
+    rows = each.groupBy("_i", "_n", "_h", "fp").agg(F.count("*").alias("_times")).join(named.select("fp", "root"), "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct("_n", "_i", "_h")).alias("_f"))
+    rows = rows.join(first, "root").withColumn("_stays", F.struct("_n", "_i", "_h") == F.col("_f"))
+    rows = stored(rows.where(~F.col("_stays") | (F.col("_times") > 1)).select(*keys, "_stays"), "going")
+    marked = docs.withColumns(keys)
+    kept = join_small(marked, rows.select(*keys), list(keys), "left_anti")
+    repeated = join_small(marked, rows.where("_stays").select(*keys), list(keys), "left_semi").dropDuplicates(list(keys))
+    return kept.unionByName(repeated).select(*docs.columns)
