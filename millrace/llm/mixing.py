@@ -67,6 +67,29 @@ def _pooled(rows: DataFrame, axis: str, most: int) -> DataFrame:
     return joined.withColumn(axis, F.when(F.col("_own"), F.col(axis)).otherwise(F.lit(REST))).drop("_own")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _d, _s, _l, _n and _t: id, source, language, tokens and topic, nulls replaced."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = {"_d": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_s": F.coalesce(F.col("source").cast("string"), F.lit("")), "_l": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_n": word_count(text)}
+    return docs.withColumns(own).withColumn("_t", form_topic(text, F.col("_n")))
+
+
+def _known(rows: DataFrame, powers: dict[str, float], rounds: int) -> DataFrame:
+    """(_s, _l, _t, p), stored: the probability of each cell of rows with _s, _l, _t and _n."""
+    cells = rows.groupBy(*[F.col(c).alias(a) for c, a in zip(("_s", "_l", "_t"), AXES)]).agg(F.sum(F.greatest("_n", F.lit(1))).alias("tokens"))
+    pooled = stored(cells, "cells").select(*[F.col(a).alias(f"_{a}") for a in AXES], *AXES, "tokens")
+    for axis in AXES:
+        pooled = _pooled(pooled, axis, MOST_VALUES[axis])
+    pooled = stored(pooled, "pooled")
+    p = probabilities(rows.sparkSession, pooled.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")), powers, rounds)
+    return stored(pooled.join(p, list(AXES)).select(F.col("_source").alias("_s"), F.col("_lang").alias("_l"), F.col("_topic").alias("_t"), "p"), "probabilities")
+
+
+def _draw() -> Column:
+    """A number from 0 to below 1 made of the id."""
+    return F.conv(F.substring(F.md5("_d"), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+
+
 def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, keep_ppm, kept for every row of docs.
 
@@ -76,32 +99,16 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS
     texts have no tokens and count one.  A source that is all of the table keeps
     the mix of the other two axes.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("_text"))
-    rows = rows.withColumn("n_tokens", word_count(F.col("_text"))).withColumn("topic", form_topic(F.col("_text"), F.col("n_tokens")))
-    rows = stored(rows.select("doc_id", *AXES, "n_tokens"), "tokens")
-    cells = rows.groupBy(*AXES).agg(F.sum(F.greatest("n_tokens", F.lit(1))).alias("tokens"))
-    cells = stored(cells, "cells")
-    pooled = cells.select(*[F.col(a).alias(f"_{a}") for a in AXES], *AXES, "tokens")
-    for axis in AXES:
-        pooled = _pooled(pooled, axis, MOST_VALUES[axis])
-    pooled = stored(pooled, "pooled")
-    p = probabilities(docs.sparkSession, pooled.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")), powers, rounds)
-    known = stored(pooled.join(p, list(AXES)).select(*[F.col(f"_{a}").alias(a) for a in AXES], "p"), "probabilities")
-    drawn = join_small(rows, known, list(AXES), "inner")
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    return drawn.select("doc_id", *AXES, "n_tokens", F.round(F.col("p") * 1e6).cast("long").alias("keep_ppm"), (draw < F.col("p")).alias("kept"))
+    rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text"))
+    rows = stored(rows.select("doc_id", "_d", "_s", "_l", "_t", "_n"), "tokens")
+    drawn = join_small(rows, _known(rows, powers, rounds), ["_s", "_l", "_t"], "inner")
+    return drawn.select("doc_id", F.col("_s").alias("source"), F.col("_l").alias("lang"), F.col("_t").alias("topic"), F.col("_n").alias("n_tokens"), F.round(F.col("p") * 1e6).cast("long").alias("keep_ppm"), (_draw() < F.col("p")).alias("kept"))
 
 
 def sample(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of docs that are drawn, all columns as they were."""
-    kept = stored(mix(docs, powers, rounds).where("kept").select("doc_id", "source", "lang", "topic").distinct(), "drawn")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = {"_d": F.col("doc_id").cast("long"), "_s": F.coalesce(F.col("source").cast("string"), F.lit("")), "_l": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_t": form_topic(text, word_count(text))}
-    marked = docs.withColumns(keys)
-    wanted = kept.toDF("d", "s", "l", "t")
-    on = F.col("_d").eqNullSafe(F.col("d")) & (F.col("_s") == F.col("s")) & (F.col("_l") == F.col("l")) & (F.col("_t") == F.col("t"))
-    return marked.join(wanted, on, "left_semi").select(*docs.columns)
+    """The rows of docs that are drawn, all columns as they were; texts are read twice and never shuffled."""
+    known = _known(_keyed(docs).select("_s", "_l", "_t", "_n"), powers, rounds)
+    return join_small(_keyed(docs), known, ["_s", "_l", "_t"], "inner").where(_draw() < F.col("p")).select(*docs.columns)
 
 
 def _oracle() -> str:
