@@ -220,7 +220,8 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     each = stored(texts.mapInArrow(each_row, "_i long, _n boolean, _h long, fp long"), "fingerprints")
     named = _classes(each.select(F.when(~F.col("_n"), F.col("_i")).alias("doc_id"), "fp"), radius)
     rows = each.groupBy("_i", "_n", "_h", "fp").agg(F.count("*").alias("_times")).join(named.select("fp", "root"), "fp")
-    first = rows.groupBy("root").agg(F.min(F.struct("_n", "_i", "_h")).alias("_f"))
+    rows = stored(rows, "rows")
+    first = stored(rows.groupBy("root").agg(F.min(F.struct("_n", "_i", "_h")).alias("_f")), "first")  # stored, so that the join can split a large class
     rows = rows.join(first, "root").withColumn("_stays", F.struct("_n", "_i", "_h") == F.col("_f"))
     rows = stored(rows.where(~F.col("_stays") | (F.col("_times") > 1)).select(*keys, "_stays"), "going")
     marked = docs.withColumns(keys)
