@@ -14,12 +14,17 @@ ARROW_BATCH_BYTES = 8 << 20
 BROADCAST_ROWS = 100_000
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; a temporary one, the same for the whole application, only where none is set (tests on one machine)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        where = _own[app]
     return where.rstrip("/")
 
 
