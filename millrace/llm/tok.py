@@ -54,7 +54,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.flat, self.start, self.length = array("I"), array("q", [0]), array("q", [0])
+        self.flat, self.start, self.length = array("I"), array("i", [0]), array("i", [0])
 
     def _keep(self, word: str, ids: list[int]) -> None:
         self.known[word] = len(self.start)
@@ -86,7 +86,7 @@ class WordEncoder:
         distinct, known = coded.dictionary.to_pylist(), self.known
         if new := [w for w in distinct if w not in known]:
             self._learn(new)
-        own = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))
+        own = np.fromiter((known[w] for w in distinct), np.int32, len(distinct))
         return own[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +104,17 @@ class WordEncoder:
         core = pc.if_else(two, core, distinct)
         tail = _after(distinct, core)
         parts = np.stack((self._entries(core), self._entries(tail)), 1)
-        start, length = np.frombuffer(self.start, np.int64), np.frombuffer(self.length, np.int64)
+        start, length = np.frombuffer(self.start, np.int32), np.frombuffer(self.length, np.int32)
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
         part = parts[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        bounds = 2 * (bounds - bounds[0])
+        del words, coded, distinct, core, tail, parts
         counts = length[part]
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        ids = flat[np.repeat(start[part] - ends[:-1], counts) + np.arange(ends[-1])]
-        return ids, ends[2 * (bounds - bounds[0])]
+        ends = np.zeros(len(part) + 1, np.int64)
+        np.cumsum(counts, out=ends[1:])
+        at = np.repeat((start[part] - ends[:-1]).astype(np.int32), counts)  # a slice has far fewer than 2**31 ids
+        at += np.arange(len(at), dtype=np.int32)
+        return flat[at], ends[bounds]
 
 
 def _after(words: pa.Array, heads: pa.Array) -> pa.Array:
