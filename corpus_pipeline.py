@@ -31,8 +31,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn so that sources, languages and topics have their target weights."""
-    return mixing.sample(docs).select(*DOCUMENT)
+    """Documents are drawn so that sources, languages and topics come near their target weights and KEPT_SHARE of the tokens stays."""
+    return mixing.sample(docs, share=mixing.KEPT_SHARE).select(*DOCUMENT)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

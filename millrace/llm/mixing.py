@@ -4,6 +4,11 @@ Token counts of the cells (source, language, topic) are raked to three target
 marginals in turn until they settle.  A cell's raked weight over its own tokens,
 scaled so that the largest is 1, is the probability with which each of its
 documents is kept, so the expected mix has the target marginals exactly.
+
+That law makes the kept share hang on the one cell with the largest weight a
+token.  With a stated share of the tokens (the pipeline's way) weights are
+capped at the cell's own tokens in every step instead, the rest is raked on, and
+a last common factor brings the sum to the share.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ AXES = ("source", "lang", "topic")
 #: Each target marginal is the tokens to this power, in proportion: below 1 it evens out, at 1 it stays.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 ROUNDS = 12
+#: Share of the tokens that the pipeline keeps.
+KEPT_SHARE = 0.5
 #: Values of an axis that have a target of their own; all smaller ones share one.  Bounds what the driver holds.
 MOST_VALUES = {"source": 10_000, "lang": 100, "topic": 100}
 REST = "*"
@@ -34,18 +41,32 @@ def form_topic(text: Column, words: Column) -> Column:
     return F.when(bars * 50 > F.length(text), "listing").when(words < 100, "brief").when(words < 1000, "article").otherwise("treatise")
 
 
-def rake(tokens: np.ndarray, codes: dict[str, np.ndarray], targets: dict[str, np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """The cells' weights after so many rounds over all axes; codes give each cell's value on an axis, targets the sum wanted for each value."""
+def rake(tokens: np.ndarray, codes: dict[str, np.ndarray], targets: dict[str, np.ndarray], rounds: int = ROUNDS, capped: bool = False) -> np.ndarray:
+    """The cells' weights after so many rounds over all axes; codes give each cell's value on an axis, targets the sum wanted for each value.  Capped weights never exceed the tokens."""
     m = tokens.astype(float)
     for _ in range(rounds):
         for axis, code in codes.items():
             now = np.bincount(code, m, len(targets[axis]))
             m = m * (targets[axis] / np.where(now > 0, now, 1.0))[code]
+            m = np.minimum(m, tokens) if capped else m
     return m
 
 
-def probabilities(spark: SparkSession, cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """cells with p: cells are (source, lang, topic, tokens), stored, with pooled values."""
+def lift(m: np.ndarray, tokens: np.ndarray, wanted: float) -> float:
+    """The factor for which min(factor * m, tokens) sums to ``wanted``, at most the sum of the tokens."""
+    factor, full = wanted / m.sum(), np.zeros(len(m), bool)
+    while True:
+        now = factor * m >= tokens
+        if now.all() or (now == full).all():
+            return factor
+        full = now
+        factor = max(factor, (wanted - tokens[full].sum()) / m[~full].sum())
+
+
+def probabilities(spark: SparkSession, cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
+    """cells with p: cells are (source, lang, topic, tokens), stored, with pooled values.  share: see sample()."""
+    if share is not None and not 0 < share <= 1:
+        raise ValueError("a share is above 0 and at most 1")
     rows = cells.select(*AXES, "tokens").toPandas().sort_values(list(AXES), kind="stable", ignore_index=True)
     if not len(rows):
         return spark.createDataFrame([], "source string, lang string, topic string, p double")
@@ -53,9 +74,10 @@ def probabilities(spark: SparkSession, cells: DataFrame, powers: dict[str, float
     for axis in AXES:
         codes[axis], values = pd.factorize(rows[axis], sort=True)
         wanted = np.bincount(codes[axis], tokens, len(values)) ** powers[axis]
-        targets[axis] = wanted / wanted.sum() * tokens.sum()
-    ratio = rake(tokens, codes, targets, rounds) / tokens
-    rows["p"] = ratio / ratio.max()
+        targets[axis] = wanted / wanted.sum() * tokens.sum() * (share or 1)
+    m = rake(tokens, codes, targets, rounds, share is not None)
+    ratio = m / tokens
+    rows["p"] = ratio / ratio.max() if share is None else np.minimum(ratio * lift(m, tokens, share * tokens.sum()), 1.0)
     return spark.createDataFrame(rows[[*AXES, "p"]], "source string, lang string, topic string, p double")
 
 
@@ -74,14 +96,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns(own).withColumn("_t", form_topic(text, F.col("_n")))
 
 
-def _known(rows: DataFrame, powers: dict[str, float], rounds: int) -> DataFrame:
+def _known(rows: DataFrame, powers: dict[str, float], rounds: int, share: float | None = None) -> DataFrame:
     """(_s, _l, _t, p), stored: the probability of each cell of rows with _s, _l, _t and _n."""
     cells = rows.groupBy(*[F.col(c).alias(a) for c, a in zip(("_s", "_l", "_t"), AXES)]).agg(F.sum(F.greatest("_n", F.lit(1))).alias("tokens"))
     pooled = stored(cells, "cells").select(*[F.col(a).alias(f"_{a}") for a in AXES], *AXES, "tokens")
     for axis in AXES:
         pooled = _pooled(pooled, axis, MOST_VALUES[axis])
     pooled = stored(pooled, "pooled")
-    p = probabilities(rows.sparkSession, pooled.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")), powers, rounds)
+    p = probabilities(rows.sparkSession, pooled.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")), powers, rounds, share)
     return stored(pooled.join(p, list(AXES)).select(F.col("_source").alias("_s"), F.col("_lang").alias("_l"), F.col("_topic").alias("_t"), "p"), "probabilities")
 
 
@@ -105,9 +127,13 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS
     return drawn.select("doc_id", F.col("_s").alias("source"), F.col("_l").alias("lang"), F.col("_t").alias("topic"), F.col("_n").alias("n_tokens"), F.round(F.col("p") * 1e6).cast("long").alias("keep_ppm"), (_draw() < F.col("p")).alias("kept"))
 
 
-def sample(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of docs that are drawn, all columns as they were; texts are read twice and never shuffled."""
-    known = _known(_keyed(docs).select("_s", "_l", "_t", "_n"), powers, rounds)
+def sample(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
+    """The rows of docs that are drawn, all columns as they were; texts are read twice and never shuffled.
+
+    With a share, so much of the tokens is kept in expectation, whatever the
+    size and skew of the input; without one the law of mix() holds.
+    """
+    known = _known(_keyed(docs).select("_s", "_l", "_t", "_n"), powers, rounds, share)
     return join_small(_keyed(docs), known, ["_s", "_l", "_t"], "inner").where(_draw() < F.col("p")).select(*docs.columns)
 
 

@@ -325,3 +325,19 @@ def test_rake_settles_on_marginals():
     m = mixing.rake(tokens, codes, targets, 60)
     for axis in codes:
         assert np.allclose(np.bincount(codes[axis], m), targets[axis])
+
+
+def test_a_tiny_source_does_not_set_the_kept_share(spark):
+    rows = [(i, f"word{i} " * 50, "en", "hot" if i % 3 else f"s{i % 5}") for i in range(3000)] + [(3000, "lone " * 50, "xx", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    kept = mixing.sample(df, share=0.5).collect()
+    assert 0.46 < len(kept) / len(rows) < 0.54  # every document has as many words
+    share = Counter(r.source for r in kept)
+    assert share["tiny"] == 1 and 520 < share["hot"] < 640 and 160 < share["s0"] <= 200  # of 1,500: 576 and 182 wanted
+    assert mixing.sample(df, share=1.0).count() == len(rows)
+
+
+def test_lift_reaches_the_sum():
+    tokens, m = np.array([10.0, 20, 300, 1000]), np.array([10.0, 15, 20, 5])
+    for wanted in (5.0, 300, 900, 1330):
+        assert np.isclose(np.minimum(mixing.lift(m, tokens, wanted) * m, tokens).sum(), wanted)
