@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, quality, secrets, simhash
+from millrace.llm import mixing, packing, quality, secrets, shingles, simhash
 from millrace.llm.common import new_path, stored, tables
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.one_of_each(docs).select(*DOCUMENT)
+    """Of each group of near-duplicates, by fingerprints or by five-word shingles, the document with the smallest id stays."""
+    return simhash.one_of_each(docs, least=shingles.SIMILAR).select(*DOCUMENT)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

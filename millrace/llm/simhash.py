@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import bound_batches, join_small, stored
 from .graph import components
 
@@ -176,10 +177,11 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return met.mapInArrow(verify, "u long, v long")
 
 
-def _classes(each: DataFrame, radius: int) -> DataFrame:
-    """(fp, component_id, root): each is (doc_id, fp), stored."""
+def _classes(each: DataFrame, radius: int, more: DataFrame | None = None) -> DataFrame:
+    """(fp, component_id, root): each is (doc_id, fp), stored; more are further links (u, v) of fingerprints."""
     nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(stored(links(nodes.select("fp"), radius), "links"))
+    near = stored(links(nodes.select("fp"), radius), "links")
+    roots = components(near if more is None else near.unionByName(more))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return stored(named.join(names, "root").select("fp", "component_id", "root"), "components")
@@ -198,12 +200,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4, least: float | None = None) -> DataFrame:
     """One row of docs for each class of near-duplicates: that of the smallest doc_id, all columns as they were.
 
     Null ids come last, equal ids are told apart by a hash of their texts, and
     of rows equal in id and text one stays.  Only the rows that go are joined
-    with the documents.
+    with the documents.  With ``least`` documents whose five-word shingles are
+    so similar are near-duplicates too, whatever their fingerprints.
     """
     keys = {"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_n": F.col("doc_id").isNull(), "_h": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
     bound_batches(docs.sparkSession)
@@ -214,11 +217,19 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
         lanes, hasher = _lanes(), xxhash.xxh64_intdigest
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), width, hasher, lanes) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("_i"), batch.column("_n"), batch.column("_h"), pa.array(found.view(np.int64))], names=["_i", "_n", "_h", "fp"])
+            keys = [None if least is None else shingles.band_keys(shingles.shingles(t.as_py(), hasher)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_i"), batch.column("_n"), batch.column("_h"), pa.array(found.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["_i", "_n", "_h", "fp", "keys"])
 
     texts = docs.select(*[x.alias(k) for k, x in keys.items()], F.col("text").cast("string").alias("text"))
-    each = stored(texts.mapInArrow(each_row, "_i long, _n boolean, _h long, fp long"), "fingerprints")
-    named = _classes(each.select(F.when(~F.col("_n"), F.col("_i")).alias("doc_id"), "fp"), radius)
+    each = stored(texts.mapInArrow(each_row, "_i long, _n boolean, _h long, fp long, keys array<long>"), "fingerprints")
+    more = None
+    if least is not None:
+        found = stored(shingles.links(texts.select("_h", "text"), each.select("_h", "keys"), least), "similar")
+        for c in ("u", "v"):
+            prints = each.select(F.col("_h").alias(c), F.col("fp").alias(f"_{c}")).distinct()
+            found = found.join(prints, c)
+        more = stored(found.select(F.col("_u").alias("u"), F.col("_v").alias("v")), "similar")
+    named = _classes(each.select(F.when(~F.col("_n"), F.col("_i")).alias("doc_id"), "fp"), radius, more)
     rows = each.groupBy("_i", "_n", "_h", "fp").agg(F.count("*").alias("_times")).join(named.select("fp", "root"), "fp")
     rows = stored(rows, "rows")
     first = stored(rows.groupBy("root").agg(F.min(F.struct("_n", "_i", "_h")).alias("_f")), "first")  # stored, so that the join can split a large class
