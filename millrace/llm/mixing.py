@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, stored
+from .common import drop_stored, join_small, new_path, stored
 
 AXES = ("source", "lang", "topic")
 #: Each target marginal is the tokens to this power, in proportion: below 1 it evens out, at 1 it stays.
@@ -26,9 +26,8 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 ROUNDS = 12
 #: Share of the tokens that the pipeline keeps.
 KEPT_SHARE = 0.5
-#: Values of an axis that have a target of their own; all smaller ones share one.  Bounds what the driver holds.
-MOST_VALUES = {"source": 10_000, "lang": 100, "topic": 100}
-REST = "*"
+#: Cells up to which the driver rakes; more are raked in Spark, by the same steps to the same weights.
+MOST_CELLS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -64,9 +63,11 @@ def lift(m: np.ndarray, tokens: np.ndarray, wanted: float) -> float:
 
 
 def probabilities(spark: SparkSession, cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
-    """cells with p: cells are (source, lang, topic, tokens), stored, with pooled values.  share: see sample()."""
+    """cells with p: cells are (source, lang, topic, tokens), stored.  share: see sample()."""
     if share is not None and not 0 < share <= 1:
         raise ValueError("a share is above 0 and at most 1")
+    if cells.count() > MOST_CELLS:
+        return _probabilities_in_spark(cells, powers, rounds, share)
     rows = cells.select(*AXES, "tokens").toPandas().sort_values(list(AXES), kind="stable", ignore_index=True)
     if not len(rows):
         return spark.createDataFrame([], "source string, lang string, topic string, p double")
@@ -81,12 +82,38 @@ def probabilities(spark: SparkSession, cells: DataFrame, powers: dict[str, float
     return spark.createDataFrame(rows[[*AXES, "p"]], "source string, lang string, topic string, p double")
 
 
-def _pooled(rows: DataFrame, axis: str, most: int) -> DataFrame:
-    """Values of an axis after the ``most`` largest become REST."""
-    sums = rows.groupBy(axis).agg(F.sum("tokens").alias("_t"))
-    top = stored(sums.orderBy(F.desc("_t"), axis).limit(most).select(axis, F.lit(True).alias("_own")), "values")
-    joined = join_small(rows, top, [axis], "left")
-    return joined.withColumn(axis, F.when(F.col("_own"), F.col(axis)).otherwise(F.lit(REST))).drop("_own")
+def _probabilities_in_spark(cells: DataFrame, powers: dict[str, float], rounds: int, share: float | None) -> DataFrame:
+    """The same where cells are too many for the driver: each step is a grouped sum and a join, each round is stored."""
+    spark, t = cells.sparkSession, F.col("tokens").cast("double")
+    m = cells.select(*AXES, t.alias("tokens"), t.alias("m"))
+    total = cells.agg(F.sum(t)).first()[0]
+    for axis in AXES:
+        sums = cells.groupBy(axis).agg(F.pow(F.sum(t), F.lit(powers[axis])).alias("_w"))
+        sums = stored(sums, "targets")
+        target = F.col("_w") / F.lit(sums.agg(F.sum("_w")).first()[0]) * F.lit(total * (share or 1))
+        m = join_small(m, sums.withColumn(f"_{axis}", target).drop("_w"), [axis], "inner")
+    path = new_path(spark, "rake")
+    m = stored(m, "rake", path)
+    for _ in range(rounds):
+        for axis in AXES:
+            now = stored(m.groupBy(axis).agg(F.sum("m").alias("_now")), "sums")
+            weight = F.col("m") * (F.col(f"_{axis}") / F.col("_now"))
+            m = join_small(m, now, [axis], "inner").withColumn("m", weight if share is None else F.least(weight, "tokens")).drop("_now")
+        later = new_path(spark, "rake")
+        m = stored(m, "rake", later)
+        drop_stored(spark, path)
+        path = later
+    if share is None:
+        factor = 1 / m.agg(F.max(F.col("m") / F.col("tokens"))).first()[0]
+    else:  # as lift()
+        factor, full = share * total / m.agg(F.sum("m")).first()[0], 0
+        while True:
+            over = F.col("m") * F.lit(factor) >= F.col("tokens")
+            n, taken, free = m.agg(F.count_if(over), F.sum(F.when(over, F.col("tokens"))), F.sum(F.when(~over, F.col("m")))).first()
+            if n == full or not free:
+                break
+            factor, full = max(factor, (share * total - taken) / free), n
+    return m.select(*AXES, F.least(F.col("m") / F.col("tokens") * F.lit(factor), F.lit(1.0)).alias("p"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -99,12 +126,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _known(rows: DataFrame, powers: dict[str, float], rounds: int, share: float | None = None) -> DataFrame:
     """(_s, _l, _t, p), stored: the probability of each cell of rows with _s, _l, _t and _n."""
     cells = rows.groupBy(*[F.col(c).alias(a) for c, a in zip(("_s", "_l", "_t"), AXES)]).agg(F.sum(F.greatest("_n", F.lit(1))).alias("tokens"))
-    pooled = stored(cells, "cells").select(*[F.col(a).alias(f"_{a}") for a in AXES], *AXES, "tokens")
-    for axis in AXES:
-        pooled = _pooled(pooled, axis, MOST_VALUES[axis])
-    pooled = stored(pooled, "pooled")
-    p = probabilities(rows.sparkSession, pooled.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")), powers, rounds, share)
-    return stored(pooled.join(p, list(AXES)).select(F.col("_source").alias("_s"), F.col("_lang").alias("_l"), F.col("_topic").alias("_t"), "p"), "probabilities")
+    p = probabilities(rows.sparkSession, stored(cells, "cells"), powers, rounds, share)
+    return stored(p.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), "p"), "probabilities")
 
 
 def _draw() -> Column:

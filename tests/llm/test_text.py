@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import html, mixing, packing, quality, secrets, sharding, store, tok
+from millrace.llm.common import stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, shard string"
 HARD = [None, "", " \n\t", "héllo  wOrld's  x y <|endoftext|>foo it's 12 \x1c a\x85b é ́x ΑΣ Σ İa ªb a.,b foo..., FOO!! &&& é%%% abc<|endoftext|> x's. a-b- (x) ',' 're. 3. ÀÉ_", "word " * 9000, "😀 漢字 ok"]
@@ -341,3 +342,30 @@ def test_lift_reaches_the_sum():
     tokens, m = np.array([10.0, 20, 300, 1000]), np.array([10.0, 15, 20, 5])
     for wanted in (5.0, 300, 900, 1330):
         assert np.isclose(np.minimum(mixing.lift(m, tokens, wanted) * m, tokens).sum(), wanted)
+
+
+def test_mixing_pools_no_values(spark):
+    rows = [(i, "word " * (1 + i % 7), ["en", "fr", "*"][i % 3], f"s{i}" if i < 10_050 else "s1") for i in range(10_200)]
+    rows += [(20_000 + i, "word " * (1 + i % 7), f"l{i}", "*") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    ppm = {r.doc_id: r.keep_ppm for r in mixing.mix(df).collect()}
+    cells = Counter()
+    for _, text, lang, source in rows:
+        cells[source, lang] += len(text.split())
+    names = list(cells)
+    tokens = np.array([cells[c] for c in names], float)
+    codes = {a: np.unique([c[k] for c in names], return_inverse=True)[1] for k, a in enumerate(("source", "lang"))}
+    sums = {a: np.bincount(codes[a], tokens) ** mixing.POWERS[a] for a in codes}
+    m = mixing.rake(tokens, codes, {a: w / w.sum() * tokens.sum() for a, w in sums.items()})  # all are briefs: the topic has one value
+    want = dict(zip(names, m / tokens / (m / tokens).max()))
+    assert all(abs(ppm[i] - 1e6 * want[source, lang]) <= 2 for i, _, lang, source in rows)
+
+
+def test_raking_in_spark_gives_the_same(spark, monkeypatch):
+    cells = stored(spark.createDataFrame([(f"s{i % 7}", f"l{i % 3}", f"t{i % 2}", 1 + 97 * i % 1000 * (50 if i % 7 == 1 else 1)) for i in range(42)], "source string, lang string, topic string, tokens long"), "test")
+    for share in (None, 0.6):
+        want = {tuple(r[:3]): r.p for r in mixing.probabilities(spark, cells, rounds=2, share=share).collect()}
+        monkeypatch.setattr(mixing, "MOST_CELLS", 0)
+        got = {tuple(r[:3]): r.p for r in mixing.probabilities(spark, cells, rounds=2, share=share).collect()}
+        monkeypatch.undo()
+        assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
