@@ -33,7 +33,7 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 #: A start tag ends an open element of the same kind, up to the container named.
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 DROP_TAGS = frozenset("head nav footer aside form script style noscript template iframe object svg canvas audio video button select textarea menu dialog title math input".split())
-#: Words of a class, id or role that mark what is not the article.
+#: A class, id or role made of these words only marks what is not the article.
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr newsletter subscribe subscription popup modal overlay"
     " sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond reply replies related recommended share sharing social"
@@ -41,6 +41,8 @@ DROP_WORDS = frozenset(
 )
 #: These count outside articles only: an article may have a header with its title.
 DROP_OUTSIDE = frozenset("header top topbar".split())
+#: Characters of a text from which an element with such a name counts in its parent's hash.
+LONG = 200
 CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center address".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|\Z)""", re.S)
@@ -52,12 +54,50 @@ _WORD = re.compile(r"[a-z]+")
 class _Open:
     """An element that is not closed yet."""
 
-    __slots__ = ("drop", "hashes", "region", "tag", "where")
+    __slots__ = ("drop", "hashes", "large", "named", "region", "tag", "where")
 
-    def __init__(self, tag: str, where: int, drop: bool, region: int, mark: str):
+    def __init__(self, tag: str, where: int, drop: bool, region: int, mark: str, named: bool = False):
+        self.named, self.large = named, tag in ("article", "main")
         self.tag, self.where, self.drop, self.region, self.hashes = tag, where, drop, region, [f"<{mark}>".encode()]
 
 
+def _only(token: str, words: frozenset[str]) -> bool:
+    """Whether the token is made of these words and nothing else."""
+    return words.issuperset(found := _WORD.findall(token)) and bool(found)
+
+
+def _going(events: list[tuple[int, str | None]], named: list[tuple[int, int]], articles: list[tuple[int, int]]) -> bytearray:
+    """A mark for each event that goes with an element of such a name.
+
+    An element stays if it holds the page's largest text block and less than
+    that stands outside all such elements, or if it holds the article or main
+    with the most text and that is no less than the largest block.
+    """
+    size = [0]
+    for _, x in events:
+        size.append(size[-1] + (len(x.strip()) if x else 0))
+    largest, at, start = 0, 0, 0
+    for i, (_, x) in enumerate([*events, (0, None)]):
+        if x is None:
+            if size[i] - size[start] > largest:
+                largest, at = size[i] - size[start], next(j for j in range(start, i) if size[j + 1] > size[j])
+            start = i + 1
+    out = bytearray(len(events))
+    for a, b in named:
+        out[a:b] = b"\1" * (b - a)
+    kept = [at] if sum(size[i + 1] - size[i] for i, gone in enumerate(out) if not gone) < largest else []
+    if articles:
+        a, b = max(articles, key=lambda x: size[x[1]] - size[x[0]])
+        if size[b] - size[a] >= largest:
+            kept.append(next((i for i in range(a, b) if size[i + 1] > size[i]), a))
+    if kept:
+        out = bytearray(len(events))
+        for a, b in named:
+            if not any(a <= i < b for i in kept):
+                out[a:b] = b"\1" * (b - a)
+    return out
+
+
 def read(page: str, template: frozenset[bytes] = frozenset()) -> tuple[str, set[bytes]]:
     """(main text, hashes of the subtrees that could be template).
 
@@ -68,19 +108,34 @@ def read(page: str, template: frozenset[bytes] = frozenset()) -> tuple[str, set[
     hashes: set[bytes] = set()
     root = _Open("", 0, False, 0, "")
     stack = [root]
+    named: list[tuple[int, int]] = []  # events of elements that go by their name, unless they hold the main text
+    articles: list[tuple[int, int]] = []
+
+    def cut(at: int) -> None:
+        del events[at:]
+        for ranges in (named, articles):
+            while ranges and ranges[-1][1] > at:
+                ranges.pop()
 
     def close() -> None:
         own = stack.pop()
         up = stack[-1]
         if own.drop:
-            del events[own.where :]
+            cut(own.where)
+            return
+        if own.named and len(events) > own.where:
+            named.append((own.where, len(events)))
+        if own.named and not own.large:
             return
+        up.large = up.large or own.large
+        if own.tag in ("article", "main") and not own.named and len(events) > own.where:
+            articles.append((own.where, len(events)))
         name = hashlib.blake2b(b"\0".join(own.hashes), digest_size=8).digest()
         inside = own.region == 2
         if len(own.hashes) > 1 and (own.tag in CONTAINERS if inside else own.tag not in INLINE) and own.tag not in ("html", "body", "article", "main"):
             hashes.add(name)
             if name in template:
-                del events[own.where :]
+                cut(own.where)
                 events.append((own.region, None))
                 return
         if len(own.hashes) > 1:
@@ -99,6 +154,7 @@ def read(page: str, template: frozenset[bytes] = frozenset()) -> tuple[str, set[
             raw = unescape(raw)
             events.append((stack[-1].region, raw))
             if raw.strip():
+                stack[-1].large = stack[-1].large or len(raw) >= LONG
                 stack[-1].hashes.append(" ".join(raw.split()).encode("utf-8", "surrogatepass"))
 
     at, n = 0, len(page)
@@ -141,18 +197,22 @@ def read(page: str, template: frozenset[bytes] = frozenset()) -> tuple[str, set[
             continue
         mark, drop, region = tag, tag in DROP_TAGS, here.region
         words: set[str] = set()
+        tokens: set[str] = set()
+        by_name = False
         if attributes:
             for _, a, b, c in _NAMED.findall(attributes):
-                words.update(_WORD.findall((a or b or c).lower()))
+                said = (a or b or c).lower()
+                words.update(_WORD.findall(said))
+                tokens.update(said.split())
             mark += " " + " ".join(sorted(words))
             drop = drop or bool(_HIDDEN.search(attributes))
-        if tag not in ("html", "body", "article", "main") or "comment" in words or "comments" in words:
-            drop = drop or not DROP_WORDS.isdisjoint(words) or (region == 0 and (tag == "header" or not DROP_OUTSIDE.isdisjoint(words)))
+        if tag not in ("html", "body", "main") and not (tag == "article" and tokens.isdisjoint(("comment", "comments"))):
+            by_name = any(_only(t, DROP_WORDS) or region == 0 and _only(t, DROP_WORDS | DROP_OUTSIDE) for t in tokens) or (region == 0 and tag == "header")
         if tag == "article":
             region = 2
         elif region == 0 and (tag == "main" or "main" in words and 'role' in attributes.lower()):
             region = 1
-        stack.append(_Open(tag, len(events), drop, region, mark))
+        stack.append(_Open(tag, len(events), drop, region, mark, by_name))
         if tag in RAW:
             close_at = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             end_at = close_at.start() if close_at else n
@@ -162,6 +222,9 @@ def read(page: str, template: frozenset[bytes] = frozenset()) -> tuple[str, set[
     while len(stack) > 1:
         close()
 
+    if named:
+        gone = _going(events, named, articles)
+        events = [(region, None) if gone[i] else (region, x) for i, (region, x) in enumerate(events)]
     least = max((region for region, x in events if x and x.strip()), default=0)
     blocks, run = [], []
     for region, x in [*events, (least, None)]:

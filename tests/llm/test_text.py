@@ -273,6 +273,20 @@ def test_html_cases(page, want):
     assert html.read(page)[0] == want
 
 
+BODY = "The story itself goes on for long enough to be the largest block of the page."
+WRAPPERS = ["<div class='content no-sidebar'>{}</div>", "<div class='page has-cookie-banner'>{}</div>", "<article><section id='share-price'>{}</section></article>", "<body class='single comments-open'>{}</body>", "<article class='post has-comments'>{}</article>", "<div class='sidebar'><main>{}</main></div>", "<div class='related'><article>{}</article></div>", "<div class='share'>{}</div>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_html_names_never_take_the_main_text(wrapper):
+    box = "<div class='cookie-banner'>Accept</div><div id='related'><article>Teaser</article></div>"
+    assert html.read(wrapper.format(f"<p>{BODY}</p><p>More.</p>{box}"))[0] == f"{BODY}\nMore."
+
+
+def test_html_names_still_take_boxes():
+    assert html.read(f"<p>{BODY}</p><div class='sidebar'><article>Teaser</article></div><p>{BODY}</p><p>{BODY}</p><div class='comments'>{BODY} {BODY}</div>")[0] == "\n".join([BODY] * 3)
+
+
 def test_html_deep_nesting():
     assert html.read("<div>" * 30000 + "deep")[0] == "deep"
 
