@@ -7,7 +7,8 @@ by Cauchy-Schwarz a query whose bound is t needs only vectors of length t / |q|
 or more, so queries sorted by that need meet a prefix of the blocks.  Inside a
 block the partial product of the leading rotated components plus the product of
 the residual lengths bounds each score; what the bound can't rule out is scored
-exactly in integers.
+exactly in integers, of any size: a bound that overflows rules nothing out, and
+products beyond 64 bits are taken with Python's integers.
 """
 
 from __future__ import annotations
@@ -16,27 +17,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bound_batches, stored
 
 #: Vectors of a block of data, queries of a block of queries, leading components of the first bound.
 BLOCK, QUERY_BLOCK, LEADING = 8192, 512, 16
-#: Components beyond this leave integer scores inexact; such vectors take no part.
-LARGEST = 2.0**26
+#: Pairs scored at once; most of a score that 64-bit sums hold for sure.
+PAIRS = 16_384
+SAFE = 2.0**62
+#: Scores beyond a long are given as its end; they are ordered by their digits after this is added, which makes them positive.
+BEYOND = 10**660
 
 
 def quantized(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     """(vec_id, v): v is floor(scale * x) as doubles.
 
-    A null vector, one with a null or non-finite component, or one beyond
-    LARGEST has no row.
+    A null vector, or one with a component that is null or not finite (itself or
+    times the scale), has no row.
     """
     x = F.col("embedding").cast("array<double>")
-    good = x.isNotNull() & F.forall(x, lambda c: F.coalesce(F.abs(c * F.lit(scale)) < F.lit(LARGEST), F.lit(False)))
+    good = x.isNotNull() & F.forall(x, lambda c: F.coalesce(F.abs(c * F.lit(scale)) < F.lit(float("inf")), F.lit(False)))
     rows = vectors.where(good)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(scale)).cast("double")).alias("v"))
+
+    def whole(c: Column) -> Column:
+        y = c * F.lit(scale)
+        return F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y)  # larger doubles are integers
+
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -59,6 +68,7 @@ def _rotation(rows: DataFrame, dim: int) -> np.ndarray:
         total = np.zeros((dim, dim))
         for batch in batches:
             m = _matrix(batch.column(0), dim)
+            m = m[np.abs(m).max(1, initial=0) < 1e100]  # any rotation is right; this one has to be finite
             total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], names=["i", "x"])
 
@@ -102,26 +112,59 @@ def _packed(rows: DataFrame, order: list, block: int, partitions: int, dim: int,
     return sorted_rows.mapInArrow(pack, "block long, n long, most double, least double, ids binary, data binary, extra binary")
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Row by row the integer inner products: int64 where that holds them for sure, else Python integers."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        safe = np.abs(q).max(1, initial=0) * np.abs(x).max(1, initial=0) * max(1, q.shape[1]) < SAFE
+    safe &= (np.abs(q).max(1, initial=0) < SAFE) & (np.abs(x).max(1, initial=0) < SAFE)
+    if safe.all():
+        return np.einsum("ij,ij->i", q.astype(np.int64), x.astype(np.int64))
+    out = np.zeros(len(q), object)
+    out[safe] = np.einsum("ij,ij->i", q[safe].astype(np.int64), x[safe].astype(np.int64))
+    for i in np.flatnonzero(~safe):
+        out[i] = sum(int(a) * int(b) for a, b in zip(q[i].tolist(), x[i].tolist()) if a and b)
+    return out
+
+
+def _turned(data: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leading rotated components, residual length, length) of each row."""
+    lead = min(LEADING, data.shape[1])
+    with np.errstate(over="ignore", invalid="ignore"):
+        r = data @ turn
+        return np.ascontiguousarray(r[:, :lead]), np.linalg.norm(r[:, lead:], axis=1), np.linalg.norm(data, axis=1)
 
 
-def _score(ids: np.ndarray, q: np.ndarray, bound: np.ndarray, data_ids: np.ndarray, data: np.ndarray, turn: np.ndarray, k: int):
-    """For each query its up to k best (score, vec_id) of the block that may reach its bound.  data is in descending length."""
-    lead = min(LEADING, q.shape[1])
-    rq, rx = q @ turn, data @ turn
-    q_rest, x_rest = np.linalg.norm(rq[:, lead:], axis=1), np.linalg.norm(rx[:, lead:], axis=1)
-    q_all, x_all = np.linalg.norm(q, axis=1), np.linalg.norm(data, axis=1)
+def _score(ids: np.ndarray, q: np.ndarray, bound: np.ndarray, data_ids: np.ndarray, data: np.ndarray, turned: tuple, own: tuple):
+    """(query number, vec_id, score) of the pairs that may reach the query's bound."""
+    (x_lead, x_rest, x_all), (q_lead, q_rest, q_all) = turned, own
     for at in range(0, len(data), 1024):
         part = slice(at, at + 1024)
-        slack = 1e-9 * (q_all[:, None] * x_all[None, part]) + 1e-6
-        upper = rq[:, :lead] @ rx[part, :lead].T + q_rest[:, None] * x_rest[None, part] + slack
-        who, what = np.nonzero((upper >= bound[:, None]) & (ids[:, None] != data_ids[None, part]))
-        if not len(who):
-            continue
-        score = np.einsum("ij,ij->i", q[who].astype(np.int64), data[part][what].astype(np.int64))
-        keep = score >= bound[who]
-        yield who[keep], data_ids[part][what[keep]], score[keep]
+        with np.errstate(over="ignore", invalid="ignore"):
+            slack = 1e-9 * (q_all[:, None] * x_all[None, part]) + 1e-6
+            upper = q_lead @ x_lead[part].T + q_rest[:, None] * x_rest[None, part] + slack
+        who, what = np.nonzero(~(upper < bound[:, None]) & (ids[:, None] != data_ids[None, part]))  # what is not a number rules nothing out
+        for k in range(0, len(who), PAIRS):
+            a, b = who[k : k + PAIRS], what[k : k + PAIRS]
+            score = _exact(q[a], data[part][b])
+            keep = score >= bound[a]
+            yield a[keep], data_ids[part][b[keep]], score[keep]
+
+
+def _top(found: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, ties to the smaller id."""
+    who, what, score = (np.concatenate(x) for x in zip(*found))
+    if score.dtype == object:
+        order = np.array(sorted(range(len(who)), key=lambda i: (who[i], -int(score[i]), what[i])), np.int64)
+    else:
+        order = np.lexsort((what, -score, who))
+    who, what, score = who[order], what[order], score[order]
+    top = np.arange(len(who)) - np.searchsorted(who, who, "left") < k
+    return who[top], what[top], score[top]
+
+
+def _beyond(score: int) -> str | None:
+    """Digits that order scores at or beyond the ends of a long."""
+    return None if -(2**63) < score < 2**63 - 1 else f"{score + BEYOND:0662d}"
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0) -> DataFrame:
@@ -130,12 +173,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     Queries are the rows whose vec_id is divisible by ``every``; candidates are
     all rows but those with the query's own id.  Ties go to the smaller vec_id.
     Vectors that are null or hold null or non-finite components, and rows
-    without an id, take no part; shorter vectors count as ended by zeros.
+    without an id, take no part; shorter vectors count as ended by zeros.  All
+    finite vectors take part; a score beyond a long is ranked by its exact value
+    and given as the largest or smallest long.
     Repeated rows are candidates once each; a repeated query is one query per
     distinct id.
     """
     spark = vectors.sparkSession
-    result = "query_id long, vec_id long, score long"
+    bound_batches(spark)  # a block or two for a task at once
+    result = "query_id long, vec_id long, score long, beyond string"
     rows = stored(quantized(vectors, scale).where("vec_id IS NOT NULL").withColumn("rank", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))), "quantized")
     n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n or not dim:
@@ -145,6 +191,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     first = blocks.orderBy(F.desc("most"), "block").limit(1).collect()  # one block, of bounded size
     seed_ids, seed = (np.frombuffer(first[0]["ids"], np.int64), np.frombuffer(first[0]["data"]).reshape(-1, dim)) if first else (np.empty(0, np.int64), np.empty((0, dim)))
 
+    with np.errstate(over="ignore"):
+        seed_length = float(np.linalg.norm(seed, axis=1).max(initial=0))
+
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +203,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
                 ids, q, size = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), dim), part.column(2).to_numpy(zero_copy_only=False)
                 bound = np.full(len(ids), -np.inf)
                 if len(seed_ids):
-                    scores = np.where(ids[:, None] == seed_ids[None, :], -np.inf, q @ seed.T)
-                    if scores.shape[1] >= k:
-                        bound = np.floor(np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] + 0.5)
-                need = np.where((bound > 0) & (size > 0), bound / np.where(size > 0, size, 1.0) * (1 - 1e-9), 0.0)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        scores = np.where(ids[:, None] == seed_ids[None, :], -np.inf, q @ seed.T)
+                        if scores.shape[1] >= k:
+                            bound = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                            bound = bound - 1e-9 * size * seed_length - 1e-6  # products of doubles are this near to the exact ones
+                        bound = np.where(np.isfinite(bound) & np.isfinite(scores).any(1), bound, -np.inf)
+                        need = np.where((bound > 0) & (size > 0), bound / np.where(size > 0, size, 1.0) * (1 - 1e-9), 0.0)
+                else:
+                    need = np.zeros(len(ids))
+                need = np.where(np.isfinite(need), need, 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(need), pa.array(bound)], names=["vec_id", "v", "rank", "bound"])
 
     asked = queries.select("vec_id", "v", "rank").mapInArrow(bounded, "vec_id long, v array<double>, rank double, bound double")
@@ -175,26 +230,30 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
 
     pairs = asked.select("block", "least").mapInArrow(meet, "q long, block long")
     left = asked.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("extra").alias("q_bound"))
-    met = pairs.join(left, "q").join(blocks.select("block", "ids", "data"), "block").drop("q", "block")
+    met = pairs.join(left, "q").join(blocks.select("block", "ids", "data"), "block").drop("q")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, turned = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: memoryview(batch.column(c)[i].as_buffer()) for c in batch.schema.names}
+                row = {c: memoryview(batch.column(c)[i].as_buffer()) for c in batch.schema.names if c != "block"}
                 ids, q, bound = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_data"]).reshape(-1, dim), np.frombuffer(row["q_bound"])
                 data_ids, data = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"]).reshape(-1, dim)
-                found = list(_score(ids, q, bound, data_ids, data, turn, k))
+                if (block := batch.column("block")[i].as_py()) != at:  # rows of a block stand side by side
+                    at, turned = block, _turned(data, turn)
+                found = []
+                for some in _score(ids, q, bound, data_ids, data, turned, _turned(q, turn)):
+                    found.append(some)
+                    if sum(len(x[0]) for x in found) > 16 * PAIRS:
+                        found = [_top(found, k)]
                 if not found:
                     continue
-                who, what, score = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((what, -score, who))
-                who, what, score = who[order], what[order], score[order]
-                place = np.arange(len(who)) - np.searchsorted(who, who, "left")
-                top = place < k
-                yield pa.RecordBatch.from_arrays([pa.array(ids[who[top]]), pa.array(what[top]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
+                who, what, score = _top(found, k)
+                ends = [max(-(2**63), min(2**63 - 1, int(x))) for x in score.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(what), pa.array(ends, pa.int64()), pa.array([_beyond(int(x)) for x in score.tolist()], pa.string())], names=["query_id", "vec_id", "score", "beyond"])
 
     found = met.mapInArrow(search, result)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

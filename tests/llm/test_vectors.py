@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
@@ -68,3 +70,20 @@ def test_hnsw_edge_cases(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert [tuple(r) for r in hnsw.nearest(df).collect()] == [(40, 1, 3, 1.0), (40, 2, 3, 1.0)]
     assert hnsw.nearest(df.limit(0)).count() == 0
+
+
+def test_top_k_of_large_components_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 3))
+    x[1], x[7], x[50], x[9], x[10], x[11], x[12] = [300000.0, 0, 0], [1e9, -1e9, 3], [1.0, 2.5e8, -7], [1e200, 1, 1], [1e200, 2, 1], [-1e200, 0, 1], [1e300, -1e300, 0]
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, rank int")
+    whole = [[math.floor(256 * c) if abs(256 * c) < 2**53 else int(256 * c) for c in v] for v in x.tolist()]
+    for k in (5, 118):
+        got = {}
+        for r in topk.top_k(df, k=k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        for q in (0, 50, 100):
+            scores = {i: sum(a * b for a, b in zip(whole[q], whole[i])) for i in range(120) if i != q}
+            best = sorted(scores, key=lambda i: (-scores[i], i))[:k]
+            assert got[q] == [(i, max(-(2**63), min(2**63 - 1, scores[i]))) for i in best]
