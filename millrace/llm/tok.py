@@ -29,6 +29,9 @@ def default_tokenizer_path() -> str:
 
 #: Signs that end a run of letters and stay one run among themselves; neither apostrophes nor the brackets of special tokens are here.
 TAIL = ".,;:!?&%*#$)(-_+=/"
+#: Words that may be parted from such signs: letters that stay letters to the last when normalized.  The dotted capital I does not (its dot
+#: would join the signs), and other scripts have such letters too; their words are encoded whole.
+PARTED = "^[A-Za-zªµºÀ-ÖØ-öø-įı-ɏЀ-џ]+$"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -100,7 +103,7 @@ class WordEncoder:
         if not len(distinct):
             return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64)
         core = pc.utf8_rtrim(distinct, characters=TAIL)
-        two = pc.fill_null(pc.utf8_is_alpha(core), False)  # letters and a tail: two runs of the pre-tokenizer, whose ids follow one another
+        two = pc.match_substring_regex(core, PARTED)  # letters and a tail: two runs of the pre-tokenizer, whose ids follow one another
         core = pc.if_else(two, core, distinct)
         tail = _after(distinct, core)
         parts = np.stack((self._entries(core), self._entries(tail)), 1)
