@@ -1,7 +1,9 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
-Shards hold a bounded number of vectors.  Inner product becomes Euclidean
-distance by one more component that gives all vectors of the shard one length.
+Shards hold a bounded number of vectors of like length: lengths are parted in
+bands, so that one very long vector does not make all others of its shard look
+alike.  Inner product becomes Euclidean distance by one more component that
+gives all vectors of the shard one length.
 Equal vectors of a shard are one node with all their ids.  Each layer's graph is
 made in bulk: candidates of every node from blocks of products with the layer,
 kept by the usual diversity rule and linked both ways, stored as flat neighbour
@@ -19,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bound_batches, stored
 from .topk import _matrix
 
-SHARD, QUERY_BLOCK = 8192, 256
+SHARD, QUERY_BLOCK = 8192, 1024
+#: Queries that walk together; a band of lengths spans so many powers of two.
+TOGETHER, BAND = 256, 4
 #: Neighbours on upper layers (twice as many at the bottom), candidates when linking, beam when searching.
 LINKS, CANDIDATES, BEAM = 16, 64, 96
 
@@ -88,8 +92,9 @@ def build(ids: np.ndarray, v: np.ndarray) -> dict[str, bytes]:
     nodes, inverse = np.unique(v, axis=0, return_inverse=True)
     order = np.lexsort((ids, inverse.ravel()))
     bounds = np.concatenate(([0], np.cumsum(np.bincount(inverse.ravel(), minlength=len(nodes)))))
-    square = (nodes**2).sum(1)
-    x = np.concatenate((nodes, np.sqrt(np.maximum(square.max() - square, 0))[:, None]), 1)
+    scaled = nodes / np.abs(nodes).max(initial=1e-300)  # squares neither overflow nor vanish
+    square = (scaled**2).sum(1)
+    x = np.concatenate((scaled, np.sqrt(np.maximum(square.max() - square, 0))[:, None]), 1)
     x = (x / np.sqrt(square.max())).astype(np.float32)
     seeds = np.random.default_rng(len(nodes)).random(len(nodes))
     levels = np.minimum((-np.log(np.maximum(seeds, 1e-12)) / np.log(LINKS)).astype(np.int64), 6)
@@ -144,22 +149,39 @@ def _walk(q: np.ndarray, x: np.ndarray, member: np.ndarray, links: np.ndarray, s
     return np.where(sim > -np.inf, best, -1)
 
 
-def search(index: dict, query_ids: np.ndarray, q: np.ndarray, k: int, beam: int):
+class Index:
+    """One shard's row, read."""
+
+    def __init__(self, row: dict, dim: int):
+        self.nodes = np.frombuffer(row["nodes"]).reshape(-1, dim)
+        self.x = np.frombuffer(row["x"], np.float32).reshape(-1, dim + 1)
+        self.ids, self.bounds = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["bounds"], np.int64)
+        members = [np.frombuffer(m, np.int32) for m in row["members"]]
+        self.layers = [(m, np.frombuffer(a, np.int32).reshape(len(m), -1)) for m, a in zip(members, row["neighbours"])]
+
+
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products row by row in doubles; where a sum overflows on its way, the end of the exact one."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.einsum("ij,ij->i", q, x)
+        if len(odd := np.flatnonzero(~np.isfinite(out))):
+            out[odd] = np.einsum("ij,ij->i", q[odd].astype(np.longdouble), x[odd].astype(np.longdouble)).astype(float)
+    return out
+
+
+def search(index: Index, query_ids: np.ndarray, q: np.ndarray, k: int, beam: int):
     """(query number, vec_id, inner product) of the up to k best that the walk finds for each query."""
-    dim = q.shape[1]
-    nodes = np.frombuffer(index["nodes"]).reshape(-1, dim)
-    x = np.frombuffer(index["x"], np.float32).reshape(-1, dim + 1)
-    ids, bounds = np.frombuffer(index["ids"], np.int64), np.frombuffer(index["bounds"], np.int64)
-    asked = np.concatenate((q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))), 1).astype(np.float32)
-    layers = [(np.frombuffer(m, np.int32), np.frombuffer(a, np.int32)) for m, a in zip(index["members"], index["neighbours"])]
-    at = np.full(len(q), layers[-1][0][0], np.int64)
-    for level in range(len(layers) - 1, -1, -1):
-        member, links = layers[level]
-        found = _walk(asked, x, member, links.reshape(len(member), -1), at, beam if level == 0 else 1)
+    nodes, x, ids, bounds = index.nodes, index.x, index.ids, index.bounds
+    asked = q / np.abs(q).max(1)[:, None]
+    asked = np.concatenate((asked / np.linalg.norm(asked, axis=1)[:, None], np.zeros((len(q), 1))), 1).astype(np.float32)
+    at = np.full(len(q), index.layers[-1][0][0], np.int64)
+    for level in range(len(index.layers) - 1, -1, -1):
+        member, links = index.layers[level]
+        found = _walk(asked, x, member, links, at, beam if level == 0 else 1)
         at = found[:, 0]
     who, col = np.nonzero(found >= 0)
     node = found[who, col]
-    score = np.einsum("ij,ij->i", q[who], nodes[node])
+    score = _products(q[who], nodes[node])
     size = np.minimum(bounds[node + 1] - bounds[node], k + 1)  # ids of a node are in order: no more can enter a result
     who, score, first = np.repeat(who, size), np.repeat(score, size), np.repeat(bounds[node], size)
     what = ids[first + np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size)]
@@ -171,20 +193,31 @@ def search(index: dict, query_ids: np.ndarray, q: np.ndarray, k: int, beam: int)
     return who[top], what[top], score[top]
 
 
+def _banded(rows: DataFrame) -> DataFrame:
+    """rows with band: the power of two of a vector's length, in steps of BAND."""
+    most = F.aggregate("v", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c)))
+    rows = rows.withColumn("most", most)
+    rest = F.aggregate("v", F.lit(0.0), lambda a, c: a + (c / F.col("most")) * (c / F.col("most")))
+    return rows.withColumn("band", F.floor((F.log2("most") + F.log2(rest) / 2 + BAND / 2) / BAND).cast("int")).drop("most")
+
+
 def build_index(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row per shard: shard, ids, bounds, nodes, x, members, neighbours."""
-    rows = usable(vectors)
-    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    shards = max(1, -(-n // shard))
-    dim = dim or 1
+    rows = _banded(usable(vectors))
+    bands = rows.groupBy("band").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).orderBy("band").collect()  # at most 526 bands
+    dim, first, counts = max((r["dim"] for r in bands), default=1), 0, []
+    for r in bands:
+        counts.append((r["band"], first, -(-r["n"] // shard)))
+        first += counts[-1][2]
 
     def make(rows: pa.Table) -> pa.Table:
         flat = rows.combine_chunks()
         index = build(flat.column("vec_id").to_numpy().astype(np.int64), _matrix(flat.column("v").combine_chunks(), dim))
         return pa.table({"shard": pa.array([flat.column("shard")[0].as_py()], pa.int32()), **{c: pa.array([index[c]], pa.binary()) for c in ("ids", "bounds", "nodes", "x")}, **{c: pa.array([index[c]], pa.list_(pa.binary())) for c in ("members", "neighbours")}})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(make, "shard int, ids binary, bounds binary, nodes binary, x binary, members array<binary>, neighbours array<binary>")
+    shards = vectors.sparkSession.createDataFrame(counts, "band int, first int, shards int")
+    dealt = rows.join(F.broadcast(shards), "band").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    return dealt.select("vec_id", "v", "shard").groupBy("shard").applyInArrow(make, "shard int, ids binary, bounds binary, nodes binary, x binary, members array<binary>, neighbours array<binary>")
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
@@ -194,8 +227,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD
     all rows but those with the query's own id; ties go to the smaller vec_id.
     Vectors that are null, empty, zero or hold null or non-finite components,
     and rows without an id, take no part; shorter vectors count as ended by
-    zeros.  Repeated rows are found once each; repeated query ids ask once.
+    zeros.  Repeated rows are found once each; repeated query ids ask once.  A
+    score beyond doubles is an infinity.
     """
+    bound_batches(vectors.sparkSession)  # an index or two for a task at once
     rows = usable(vectors)
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 1
     index = stored(build_index(vectors, shard), "hnsw")
@@ -210,12 +245,18 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD
     blocks = queries.mapInArrow(pack, "q_ids binary, q_data binary").withColumn("shard", F.explode(F.lit(numbers or [0])))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["q_ids"], np.int64)
-                who, what, score = search(row, ids, np.frombuffer(row["q_data"]).reshape(-1, dim), k, max(beam, k + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(what), pa.array(score)], names=["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                if (shard := batch.column("shard")[i].as_py()) != at:  # rows of a shard stand side by side
+                    row = {c: memoryview(batch.column(c)[i].as_buffer()) for c in ("ids", "bounds", "nodes", "x")}
+                    at, index = shard, Index(row | {c: [memoryview(x.as_buffer()) for x in batch.column(c)[i]] for c in ("members", "neighbours")}, dim)
+                ids, q = (np.frombuffer(memoryview(batch.column(c)[i].as_buffer()), t) for c, t in (("q_ids", np.int64), ("q_data", float)))
+                q = q.reshape(-1, dim)
+                for a in range(0, len(ids), TOGETHER):
+                    who, what, score = search(index, ids[a : a + TOGETHER], q[a : a + TOGETHER], k, max(beam, k + 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + who]), pa.array(what), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    found = blocks.join(index, "shard").drop("shard").mapInArrow(answer, "query_id long, vec_id long, score double")
+    found = blocks.join(index, "shard").mapInArrow(answer, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -87,3 +87,15 @@ def test_top_k_of_large_components_is_exact(spark, monkeypatch):
             scores = {i: sum(a * b for a, b in zip(whole[q], whole[i])) for i in range(120) if i != q}
             best = sorted(scores, key=lambda i: (-scores[i], i))[:k]
             assert got[q] == [(i, max(-(2**63), min(2**63 - 1, scores[i]))) for i in best]
+
+
+def test_hnsw_with_a_very_long_vector(spark):
+    df, x = vectors(spark, n=900, dim=16, seed=8)
+    x[13], x[40, 0], x[77] = 1e200, -3e155, -1e200
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, rank int")
+    want = brute(np.arange(len(x)), x, 20, 20, lambda a, m: m @ a)
+    got = {}
+    for r in hnsw.nearest(df, shard=300).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
