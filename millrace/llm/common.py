@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of Arrow data handed to a Python worker at once, if the session names no bound itself.
 ARROW_BATCH_BYTES = 8 << 20
-#: Rows of a stored table up to which it may be broadcast; the rows are narrow (under 200 bytes).
-BROADCAST_ROWS = 100_000
+#: Bytes of a stored table's values up to which it may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, the same for the whole application, only where none is set (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; where none is set, a temporary one for the application if all of it runs on this machine, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -54,8 +58,37 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
-    """small is stored already; it is broadcast if counted small, else both sides are shuffled (skewed keys are split by AQE)."""
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small.hint("merge"), on, how)
+    """small is stored already; it is broadcast if its values are counted few bytes, else both sides are shuffled (skewed keys are split by AQE)."""
+    width = sum((_bytes(col(f.name), f.dataType) for f in small.schema.fields), F.lit(0).cast("long"))
+    return big.join(F.broadcast(small) if (small.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else small.hint("merge"), on, how)
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        each = kind.elementType
+        if isinstance(each, (T.StringType, T.BinaryType, T.ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _bytes(x, each)), F.lit(0).cast("long")) + 16
+        size = 16 + 8 * len(each.fields) if isinstance(each, T.StructType) else 8
+        return F.coalesce(F.greatest(F.size(value), F.lit(0)), F.lit(0)).cast("long") * size + 16
+    return F.lit(8).cast("long")
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names behind a mark that begins no name of ``columns``, so that a user's column is never taken for an inner one."""
+    mark, taken = "_", [c.lower() for c in columns]
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

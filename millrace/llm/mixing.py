@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, join_small, new_path, stored
+from .common import col, drop_stored, fresh, join_small, new_path, stored
 
 AXES = ("source", "lang", "topic")
 #: Each target marginal is the tokens to this power, in proportion: below 1 it evens out, at 1 it stays.
@@ -116,23 +116,25 @@ def _probabilities_in_spark(cells: DataFrame, powers: dict[str, float], rounds:
     return m.select(*AXES, F.least(F.col("m") / F.col("tokens") * F.lit(factor), F.lit(1.0)).alias("p"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _d, _s, _l, _n and _t: id, source, language, tokens and topic, nulls replaced."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with id, source, language, topic and tokens, nulls replaced, and the names that these columns have."""
+    d, s, l, t, n = names = fresh(docs.columns, "d", "s", "l", "t", "n")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = {"_d": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_s": F.coalesce(F.col("source").cast("string"), F.lit("")), "_l": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_n": word_count(text)}
-    return docs.withColumns(own).withColumn("_t", form_topic(text, F.col("_n")))
+    own = {c: F.coalesce(F.col(of).cast("string"), F.lit("")) for c, of in ((d, "doc_id"), (s, "source"), (l, "lang"))}
+    return docs.withColumns(own | {n: word_count(text)}).withColumn(t, form_topic(text, F.col(n))), names
 
 
-def _known(rows: DataFrame, powers: dict[str, float], rounds: int, share: float | None = None) -> DataFrame:
-    """(_s, _l, _t, p), stored: the probability of each cell of rows with _s, _l, _t and _n."""
-    cells = rows.groupBy(*[F.col(c).alias(a) for c, a in zip(("_s", "_l", "_t"), AXES)]).agg(F.sum(F.greatest("_n", F.lit(1))).alias("tokens"))
-    p = probabilities(rows.sparkSession, stored(cells, "cells"), powers, rounds, share)
-    return stored(p.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), "p"), "probabilities")
+def _known(rows: DataFrame, names: list[str], p: str, powers: dict[str, float], rounds: int, share: float | None = None) -> DataFrame:
+    """The cells' columns and ``p``, the probability of each cell, stored; names are those of _keyed()."""
+    axes, tokens = names[1:4], names[4]
+    cells = rows.groupBy(*[F.col(c).alias(a) for c, a in zip(axes, AXES)]).agg(F.sum(F.greatest(tokens, F.lit(1))).alias("tokens"))
+    found = probabilities(rows.sparkSession, stored(cells, "cells"), powers, rounds, share)
+    return stored(found.select(*[F.col(a).alias(c) for c, a in zip(axes, AXES)], F.col("p").alias(p)), "probabilities")
 
 
-def _draw() -> Column:
+def _draw(key: str) -> Column:
     """A number from 0 to below 1 made of the id."""
-    return F.conv(F.substring(F.md5("_d"), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
 def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
@@ -144,20 +146,25 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS
     texts have no tokens and count one.  A source that is all of the table keeps
     the mix of the other two axes.
     """
-    rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text"))
-    rows = stored(rows.select("doc_id", "_d", "_s", "_l", "_t", "_n"), "tokens")
-    drawn = join_small(rows, _known(rows, powers, rounds), ["_s", "_l", "_t"], "inner")
-    return drawn.select("doc_id", F.col("_s").alias("source"), F.col("_l").alias("lang"), F.col("_t").alias("topic"), F.col("_n").alias("n_tokens"), F.round(F.col("p") * 1e6).cast("long").alias("keep_ppm"), (_draw() < F.col("p")).alias("kept"))
+    rows, names = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text"))
+    d, s, l, t, n = names
+    rows = stored(rows.select("doc_id", *names), "tokens")
+    drawn = join_small(rows, _known(rows, names, "p", powers, rounds), [s, l, t], "inner")
+    return drawn.select("doc_id", F.col(s).alias("source"), F.col(l).alias("lang"), F.col(t).alias("topic"), F.col(n).alias("n_tokens"), F.round(F.col("p") * 1e6).cast("long").alias("keep_ppm"), (_draw(d) < F.col("p")).alias("kept"))
 
 
 def sample(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
     """The rows of docs that are drawn, all columns as they were; texts are read twice and never shuffled.
 
     With a share, so much of the tokens is kept in expectation, whatever the
-    size and skew of the input; without one the law of mix() holds.
+    size and skew of the input; without one the law of mix() holds.  Null and
+    empty texts, null sources, languages and ids, and repeated rows count as in
+    mix(); an empty table stays empty; other columns stay, whatever their names.
     """
-    known = _known(_keyed(docs).select("_s", "_l", "_t", "_n"), powers, rounds, share)
-    return join_small(_keyed(docs), known, ["_s", "_l", "_t"], "inner").where(_draw() < F.col("p")).select(*docs.columns)
+    rows, names = _keyed(docs)
+    (p,) = fresh(docs.columns, "p")
+    known = _known(rows.select(*names), names, p, powers, rounds, share)
+    return join_small(rows, known, names[1:4], "inner").where(_draw(names[0]) < F.col(p)).select(*map(col, docs.columns))
 
 
 def _oracle() -> str:

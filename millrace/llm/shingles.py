@@ -2,8 +2,7 @@
 
 Candidates come from min-hashing: 32 bands of 8 minima, so that a pair of
 similarity 0.8 meets in some band with a probability of 0.997, one of 0.4 with
-0.02.  What hangs together by bands is gathered, each text once, and links are
-verified on the whole shingle sets.
+0.02.  Links are verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -16,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, join_small, stored
-from .graph import components
 
 WIDTH, SIMILAR, BANDS, EACH = 5, 0.8, 32, 8
+#: Texts compared with one representative in one group.
+MEMBERS = 512
 _RNG = np.random.default_rng(5)
 _TIMES, _PLUS, _MIX = (_RNG.integers(0, 2**63, BANDS * EACH, np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(3))
 
@@ -66,49 +66,74 @@ def similar(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, i
     return out
 
 
-def links(docs: DataFrame, keys: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(u, v): hashes of texts that hang together by pairs of ``least`` similarity.
+def shared(own: np.ndarray, other: np.ndarray) -> float:
+    """The similarity of two sets of shingles."""
+    if not len(own) or not len(other):
+        return 0.0
+    at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+    both = int((own[at] == other).sum())
+    return both / (len(own) + len(other) - both)
 
-    docs has _h, the hash of the text, and text; keys (_h, keys), stored, has
-    each text's band keys.
-    """
-    bound_batches(docs.sparkSession)
-    each = keys.groupBy("_h").agg(F.first("keys").alias("keys")).select("_h", F.explode("keys").alias("key"))
-    met = each.repartition("key").sortWithinPartitions("key", "_h")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .simhash import _Forest
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """pairs (_h, rep) with ok: whether the two texts are so similar.  texts, stored, has one row for each _h.
 
-        forest, key, first = _Forest(), None, None
-        for batch in batches:
-            found = []
-            for h, k in zip(batch.column("_h").to_pylist(), batch.column("key").to_pylist()):
-                if k != key:
-                    key, first = k, h
-                elif forest.join(h, first):
-                    found.append((h, first))
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
-
-    groups = stored(components(stored(met.mapInArrow(meet, "u long, v long"), "met")), "groups")
-    texts = join_small(docs, groups.select(F.col("node").alias("_h"), F.col("root").alias("_g")), ["_h"], "inner")
+    The members of a representative are dealt to groups of about MEMBERS; each
+    group is read once in order, the representative's text first, so a task
+    holds one set and the text at hand however many members there are.
+    """
+    groups = stored(pairs.groupBy("rep").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("groups")), "groups")
+    dealt = join_small(pairs, groups, ["rep"], "inner").select("_h", "rep", F.pmod(F.xxhash64("_h", F.lit(1)), F.col("groups")).cast("int").alias("salt"))
+    heads = groups.select("rep", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
+    both = dealt.join(texts, "_h").select("rep", "salt", F.lit(1).alias("side"), "_h", "text")
+    both = both.unionByName(heads.join(texts, heads["rep"] == texts["_h"]).select("rep", "salt", F.lit(0).alias("side"), "_h", "text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        group, ids, sets = None, [], []
+        head, own = None, np.empty(0, np.uint64)
+        for batch in batches:
+            out = []
+            for rep, salt, side, h, text in zip(*(batch.column(c).to_pylist() for c in ("rep", "salt", "side", "_h")), batch.column("text")):
+                read = shingles(text.as_py(), xxhash.xxh64_intdigest)
+                if side == 0:
+                    head, own = (rep, salt), read
+                elif head != (rep, salt):
+                    raise ValueError("a representative has no text")
+                else:
+                    out.append((h, rep, shared(own, read) >= least - 1e-9))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["_h", "rep", "ok"])
 
-        def settle() -> pa.RecordBatch:
-            found = similar(sets, least)
-            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["u", "v"])
+    return both.repartition("rep", "salt").sortWithinPartitions("rep", "salt", "side").mapInArrow(verify, "_h long, rep long, ok boolean")
 
-        for batch in batches:
-            for g, h, text in zip(batch.column("_g").to_pylist(), batch.column("_h").to_pylist(), batch.column("text")):
-                if g != group:
-                    yield settle()
-                    group, ids, sets = g, [], []
-                if not ids or ids[-1] != h:  # equal texts stand side by side
-                    ids.append(h)
-                    sets.append(shingles(text.as_py(), xxhash.xxh64_intdigest))
-        yield settle()
-
-    return texts.select("_g", "_h", "text").repartition("_g").sortWithinPartitions("_g", "_h").mapInArrow(verify, "u long, v long")
+
+def links(docs: DataFrame, keys: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(u, v): hashes of texts that have a similarity of at least ``least``; their components are those of the pairs that meet in a band.
+
+    docs has _h, the hash of the text, and text; keys (_h, keys), stored, has
+    each text's band keys.  In every band each text is compared with the
+    smallest hash it meets there; those that are not similar to it are met among
+    themselves again, until none are left.  So a band of n like texts costs n
+    comparisons.  Missed is a pair of which in each common band one text, and
+    not the other, is similar to a third that came first.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    own = stored(keys.groupBy("_h").agg(F.first("keys").alias("keys")), "bands")
+
+    def met(rows: DataFrame) -> DataFrame:
+        """rows (key, _h) that meet another, with the smallest, which is left out."""
+        reps = rows.groupBy("key").agg(F.min("_h").alias("rep"), F.max("_h").alias("most")).where("rep < most").select("key", "rep")
+        return stored(join_small(rows, stored(reps, "met"), ["key"], "inner").where("_h != rep"), "met")  # stored, so that the join can split a band's hot key
+
+    rows = met(own.select("_h", F.explode("keys").alias("key")))
+    needed = stored(rows.select("_h").union(rows.select("rep")).distinct(), "needed")
+    texts = stored(join_small(docs, needed, ["_h"], "left_semi").groupBy("_h").agg(F.first("text").alias("text")), "texts")
+    known = spark.createDataFrame([], "_h long, rep long, ok boolean")
+    while True:
+        asked = stored(rows.select("_h", "rep").distinct().join(known.select("_h", "rep"), ["_h", "rep"], "left_anti"), "pairs")
+        known = stored(known.unionByName(_verified(asked, texts, least)), "verified")
+        left = rows.join(known.where("NOT ok"), ["_h", "rep"], "left_semi").select("key", "_h")
+        rows = met(left)
+        if rows.isEmpty():
+            return known.where("ok").select(F.col("_h").alias("u"), F.col("rep").alias("v"))

@@ -19,13 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bound_batches, join_small, stored
+from .common import bound_batches, col, fresh, join_small, stored
 from .graph import components
 
 #: Parts of a fingerprint, as (lowest bit, bits).
 PARTS = ((0, 22), (22, 21), (43, 21))
-#: Members of one bucket up to which all their distances are taken at once.
-WHOLE_BUCKET = 512
 
 
 def _lanes() -> np.ndarray:
@@ -149,7 +147,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
             seen = set()
             for s, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist()):
                 members = np.unique(fp[s : s + n])
-                if (name := hash(members.tobytes())) not in seen:  # the same members meet on many keys
+                if (name := members.tobytes()) not in seen:  # the same members meet on many keys
                     seen.add(name)
                     found += [(u, v) for u, v in _links(members, radius) if forest.join(u, v)]
             return found
@@ -183,8 +181,9 @@ def _classes(each: DataFrame, radius: int, more: DataFrame | None = None) -> Dat
     near = stored(links(nodes.select("fp"), radius), "links")
     roots = components(near if more is None else near.unionByName(more))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return stored(named.join(names, "root").select("fp", "component_id", "root"), "components")
+    named = stored(named.select("fp", "root", "least"), "rooted")
+    names = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "names")  # stored, so that the join can split a large class
+    return stored(join_small(named, names, ["root"], "inner").select("fp", "component_id", "root"), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -204,10 +203,13 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4, least: float |
     """One row of docs for each class of near-duplicates: that of the smallest doc_id, all columns as they were.
 
     Null ids come last, equal ids are told apart by a hash of their texts, and
-    of rows equal in id and text one stays.  Only the rows that go are joined
-    with the documents.  With ``least`` documents whose five-word shingles are
-    so similar are near-duplicates too, whatever their fingerprints.
+    of rows equal in id and text one stays.  Null and empty texts are copies of
+    one another; an empty table stays empty; other columns stay, whatever their
+    names.  Only the rows that go are joined with the documents.  With ``least``
+    documents whose five-word shingles are so similar are near-duplicates too,
+    whatever their fingerprints.
     """
+    own = dict(zip(("_i", "_n", "_h"), fresh(docs.columns, "i", "n", "h")))
     keys = {"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_n": F.col("doc_id").isNull(), "_h": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
     bound_batches(docs.sparkSession)
 
@@ -233,9 +235,10 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4, least: float |
     rows = each.groupBy("_i", "_n", "_h", "fp").agg(F.count("*").alias("_times")).join(named.select("fp", "root"), "fp")
     rows = stored(rows, "rows")
     first = stored(rows.groupBy("root").agg(F.min(F.struct("_n", "_i", "_h")).alias("_f")), "first")  # stored, so that the join can split a large class
-    rows = rows.join(first, "root").withColumn("_stays", F.struct("_n", "_i", "_h") == F.col("_f"))
+    rows = join_small(rows, first, ["root"], "inner").withColumn("_stays", F.struct("_n", "_i", "_h") == F.col("_f"))
     rows = stored(rows.where(~F.col("_stays") | (F.col("_times") > 1)).select(*keys, "_stays"), "going")
-    marked = docs.withColumns(keys)
-    kept = join_small(marked, rows.select(*keys), list(keys), "left_anti")
-    repeated = join_small(marked, rows.where("_stays").select(*keys), list(keys), "left_semi").dropDuplicates(list(keys))
-    return kept.unionByName(repeated).select(*docs.columns)
+    rows = rows.withColumnsRenamed(own)
+    marked, on = docs.withColumns({own[k]: x for k, x in keys.items()}), list(own.values())
+    kept = join_small(marked, rows.select(*on), on, "left_anti")
+    repeated = join_small(marked, rows.where("_stays").select(*on), on, "left_semi").dropDuplicates(on)
+    return kept.union(repeated).select(*map(col, docs.columns))
