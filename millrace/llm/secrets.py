@@ -17,7 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, stored
+from .common import col, fresh, join_small, stored
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,8 @@ BASE_RULES = (
 )
 #: Further kinds, each with a mark of its own.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # with its body and end where they follow
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:\s*Proc-Type:[^\n]*\n\s*DEK-Info:[^\n]*\n)?[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\s[A-Za-z0-9+/=]{60,76}){1,200})?"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}"),
@@ -121,22 +122,49 @@ def trigram_query(pattern: str) -> Query:
     return _read(re._parser.parse(pattern))[1]
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(steps: Column, start: Column, add, give) -> Column:
+    """give(state before the step, step) for each of the steps, the state going on by add(state, step).
+
+    Arrays can only be appended to by copying, so the steps are cut into blocks
+    of about their count's cube root: the cost is its power 4/3, not 2.
+    """
+
+    def in_blocks(s: Column) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.cbrt(F.size(s)))).cast("int")
+        return _bound(size, lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(s), F.lit(1)) - 1) / b).cast("int")), lambda i: F.slice(s, i * b + 1, b)))
+
+    def walk(items: Column, first: Column, on, tell) -> Column:
+        zero = F.struct(first.alias("now"), F.filter(F.array(tell(first, items[0])), lambda _: F.lit(False)).alias("out"))
+        return F.aggregate(items, zero, lambda acc, x: F.struct(on(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(tell(acc["now"], x))).alias("out")), lambda acc: acc["out"])
+
+    def whole(blocks: Column) -> Column:
+        totals = walk(blocks, start, lambda now, block: F.aggregate(block, now, add), lambda now, block: now)
+        return F.flatten(F.zip_with(blocks, totals, lambda block, now: walk(block, now, add, give)))
+
+    return F.when(F.size(steps) > 0, _bound(in_blocks(steps), whole))
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Array of (start, end) of the rule's leftmost non-overlapping matches that are long enough."""
     pieces, matches = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    span = "struct<start:long,end:long>"
     rows = F.arrays_zip(pieces.alias("piece"), matches.alias("match"), kept.alias("kept"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        here = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
-        long_enough = x["match"].isNotNull() & (F.length(x["kept"]) >= rule.least)
-        return F.struct(end.cast("long").alias("at"), F.when(long_enough, F.concat(acc["found"], here)).otherwise(acc["found"]).alias("found"))
+    def sizes(x: Column) -> Column:
+        size = F.coalesce(F.length(x["match"]), F.lit(0)).cast("long")
+        return F.struct(F.length(x["piece"]).cast("long").alias("before"), size.alias("size"), (x["match"].isNotNull() & (F.length(x["kept"]) >= rule.least)).alias("counts"))
+
+    def found(steps: Column) -> Column:
+        span = lambda at, x: F.struct((at + x["before"]).alias("start"), (at + x["before"] + x["size"]).alias("end"), x["counts"].alias("counts"))
+        every = _running(steps, F.lit(0).cast("long"), lambda at, x: at + x["before"] + x["size"], span)
+        return F.transform(F.filter(every, lambda x: x["counts"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    return F.aggregate(rows, zero, step, lambda acc: acc["found"])
+    return _bound(F.transform(rows, sizes), found)
 
 
 def _none() -> Column:
@@ -212,26 +240,49 @@ def span_list(secrets: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of docs."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of docs.
+
+    Null and empty texts have no spans (the hash of no bytes); a null doc_id
+    stays null; repeated rows keep a row each; an empty table has none.
+    """
     found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rules)
     counts = [F.size(F.col("secrets")[r.kind]).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
     return found.select("doc_id", *counts, F.sha2(span_list(F.col("secrets"), BASE_RULES).cast("binary"), 256).alias("base_sha256"), span_list(F.col("secrets"), rules).alias("spans"))
 
 
+def _marked(text: Column, spans: Column, mark: str, chunk: int = 1024) -> Column:
+    """text with each run of overlapping spans (sorted by start) replaced by the mark; what stands between is read from chunks, as a place in a long string is found by walking to it."""
+    far = F.lit(2**31 - 1).cast("long")
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / chunk).cast("int"), F.floor(F.least(b, F.size(chunks).cast("long") * chunk) / chunk).cast("int")
+        near = F.array_join(F.slice(chunks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return F.substr(near, (a - first * chunk + 1).cast("int"), F.least(F.greatest(b - a, F.lit(0)), far).cast("int"))
+
+    def piece(chunks: Column):
+        return lambda at, x: F.when(x["start"] >= at, F.concat(between(chunks, at, x["start"]), F.lit(mark))).otherwise(F.lit(""))
+
+    def whole(chunks: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        end = F.aggregate(spans, zero, lambda at, x: F.greatest(at, x["end"]))
+        pieces = _running(spans, zero, lambda at, x: F.greatest(at, x["end"]), piece(chunks))
+        return F.concat(F.array_join(pieces, ""), between(chunks, end, far))
+
+    return _bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)), whole)
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """docs with every span in text replaced by a mark; overlapping spans share one.  Null texts stay null."""
+    """docs with every span in text replaced by a mark; overlapping spans share one.
+
+    Null texts stay null and empty ones empty; repeated rows are treated alike;
+    an empty table stays empty; other columns stay, whatever their names.
+    """
+    key, own = fresh(docs.columns, "key", "spans")
     found = scan(docs.select("text"), rules)
     merged = F.array_sort(F.concat(*[F.col("secrets")[r.kind] for r in rules]))
-    hits = found.select(F.col("text_key").alias("_key"), merged.alias("_spans")).where(F.size("_spans") > 0)
-    hits = stored(hits.groupBy("_key").agg(F.first("_spans").alias("_spans")), "redact")
+    hits = found.select(F.col("text_key").alias(key), merged.alias(own)).where(F.size(own) > 0)
+    hits = stored(hits.groupBy(key).agg(F.first(own).alias(own)), "redact")
     text = F.col("text")
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    new = F.aggregate(F.col("_spans"), zero, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    joined = join_small(docs.withColumn("_key", F.md5("text")), hits, ["_key"], "left")
-    return joined.select(*[F.coalesce(F.when(F.col("_spans").isNotNull(), new), text).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    new = _marked(text.cast("string"), F.col(own), mark)
+    joined = join_small(docs.withColumn(key, F.md5(text.cast("string"))), hits, [key], "left")
+    return joined.select(*[F.when(F.col(own).isNotNull(), new).otherwise(text).alias("text") if c == "text" else col(c) for c in docs.columns])

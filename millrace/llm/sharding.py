@@ -32,13 +32,13 @@ def rendezvous(keys: Sequence[Column], weights: Sequence[float]) -> Column:
     return (-(F.greatest(*scores) if len(scores) > 1 else scores[0])["rank"]).cast("int")
 
 
-def numbered(df: DataFrame, group: str, name: str = "slot", buckets: int = 1024) -> DataFrame:
+def numbered(df: DataFrame, group: str, name: str = "slot", buckets: int = 1024, chunk: int = 65_536) -> DataFrame:
     """Adds a gapless number from 0 within each group, in order of a hash of the row.
 
-    Rows that are equal in every column are counted first and expanded last, so
-    a group or a row that holds a third of the table still spreads: windows run
-    over (group, hash bucket), and only groups x buckets sums are broadcast.
-    The number of groups must be bounded (shards).
+    Rows that are equal in every column are counted first and expanded last, in
+    chunks that are dealt out, so a group or a row that holds a third of the
+    table still spreads: windows run over (group, hash bucket), and only groups
+    x buckets sums are broadcast.  The number of groups must be bounded (shards).
     """
     columns = df.columns
     rows = df.groupBy(*columns).agg(F.count("*").alias("_n"))
@@ -49,7 +49,11 @@ def numbered(df: DataFrame, group: str, name: str = "slot", buckets: int = 1024)
     within = Window.partitionBy(group, "_b").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_w", F.coalesce(F.sum("_n").over(within), F.lit(0)))
     placed = placed.join(F.broadcast(sums), placed[group].eqNullSafe(sums["_g"]) & (placed["_b"] == sums["_c"]))
-    return placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select(*columns, (F.col("_o") + F.col("_w") + F.col("_i")).cast("long").alias(name))
+    zero = F.lit(0).cast("long")
+    if (rows.agg(F.max("_n")).first()[0] or 0) > chunk:  # the chunks of a row that stands very often go to many tasks
+        placed = placed.withColumn("_k", F.explode(F.sequence(zero, F.floor((F.col("_n") - 1) / chunk)))).withColumn("_n", F.least(F.col("_n") - F.col("_k") * chunk, F.lit(chunk)))
+        placed = placed.withColumn("_w", F.col("_w") + F.col("_k") * chunk).repartition(*columns, "_k")
+    return placed.withColumn("_i", F.explode(F.sequence(zero, F.col("_n") - 1))).select(*columns, (F.col("_o") + F.col("_w") + F.col("_i")).cast("long").alias(name))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, key: str = "doc_id") -> DataFrame:

@@ -383,3 +383,73 @@ def test_raking_in_spark_gives_the_same(spark, monkeypatch):
         got = {tuple(r[:3]): r.p for r in mixing.probabilities(spark, cells, rounds=2, share=share).collect()}
         monkeypatch.undo()
         assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+
+
+# long inputs, clashing names, brute force
+
+
+def test_encoder_equals_the_library_on_random_texts(tokenizer):
+    import random
+
+    rng, signs = random.Random(1), "abcXYZéÉİıßŞşğĞ.,;:!?&%*#$)(-_+=/'’ \n\t09ЖжйЙΣσςªº́̇ŉﬁ漢字😀<|>"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(20_000)]
+    texts += [chr(c) + s for c in range(0x21, 0x600) for s in (".", "!?", "x.")] + ["EVLERİ."]
+    encoder = tok.WordEncoder(tok.default_tokenizer_path())
+    ids, bounds = encoder.encode(pa.array(texts))
+    for i, enc in enumerate(tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == enc.ids, texts[i]
+
+
+def brute_redact(text):
+    spans = sorted((int(a), int(b)) for a, b in (s.split(":")[1:] for s in brute_secrets(text)[1]))
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], "[secret]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_very_many_matches_and_redaction(spark):
+    texts = ["é😀" * 700 + "token=12345678 " * 40_000 + "x" * 3000, ("a" * 1024 + " password: abcdefgh9") * 50, "secret=" + "z" * 5000, "token=secret=abcdefghijk " * 99]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.secret_report(df).collect():
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == brute_secrets(texts[r.doc_id])[0]
+    for r in secrets.redact(df).collect():
+        assert r.text == brute_redact(texts[r.doc_id])
+
+
+def test_private_key_goes_with_its_body(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" * 4 for _ in range(5))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = [f"before {key} after", f"cut -----BEGIN PRIVATE KEY-----\n{body}\nshort line", "-----BEGIN PRIVATE KEY----- alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {0: "before [secret] after", 1: "cut [secret]\nshort line", 2: "[secret] alone"}
+
+
+def test_columns_with_clashing_names_come_back(spark):
+    from millrace.llm import simhash
+
+    names = ["_i", "_n", "_h", "_s", "_l", "_t", "_d", "p", "_key", "_spans", "fp", "keys", "a.b", "__n"]
+    rows = [(i, f"some words of document {i} and token={i:012d} to read " * 3, "en", "s", *(f"{c} of {i}" for c in names)) for i in range(40)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    extra = [f"`{c}`" for c in names]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for got in (mixing.sample(df, share=0.5), mixing.sample(df), simhash.one_of_each(df, least=0.8), secrets.redact(df), quality.keep_good(df, labels)):
+        assert got.columns == df.columns
+        own = got.select("doc_id", *extra).collect()
+        assert own and all(tuple(r)[1:] == rows[r.doc_id][4:] for r in own)
+
+
+def test_slots_of_a_row_that_stands_very_often(spark):
+    df = spark.range(1000).selectExpr("'x' AS a", "0 AS g").unionByName(spark.range(30).selectExpr("concat('y', id) AS a", "id % 2 AS g"))
+    got = defaultdict(list)
+    for r in sharding.numbered(df, "g", chunk=64).collect():
+        got[r.g].append(r.slot)
+    assert sorted(map(len, got.values())) == [15, 1015] and all(sorted(s) == list(range(len(s))) for s in got.values())
+
+
+def test_an_id_on_many_rows_is_one_lesson(spark):
+    df = spark.createDataFrame([(1, f"row {i}") for i in range(300)] + [(2, "other text")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert len(quality.classify(df, marks).collect()) == 301
