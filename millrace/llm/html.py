@@ -27,12 +27,19 @@ SHARE, LEAST = 0.2, 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br"
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mspace semantics".split()
+)
 #: A start tag of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of the same kind, up to the container named.
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-DROP_TAGS = frozenset("head nav footer aside form script style noscript template iframe object svg canvas audio video button select textarea menu dialog title math input".split())
+DROP_TAGS = frozenset("head nav footer aside form script style noscript template iframe object svg canvas audio video button select textarea menu dialog title input annotation annotation-xml".split())
+#: Of these, those that stand in a line: they go without ending the block around them.
+QUIET = frozenset("script style noscript template iframe object svg canvas audio video button select textarea input annotation annotation-xml".split())
+#: A button in one of these is a word of its text.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: A class, id or role made of these words only marks what is not the article.
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr newsletter subscribe subscription popup modal overlay"
@@ -46,8 +53,8 @@ LONG = 200
 CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center address".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|\Z)""", re.S)
-_NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|[\s"'/])hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -98,6 +105,23 @@ def _going(events: list[tuple[int, str | None]], named: list[tuple[int, int]], a
     return out
 
 
+def _region(events: list[tuple[int, str | None]]) -> int:
+    """From which region on text counts: articles (2), the main part (1) or all (0).
+
+    Articles that are only teasers do not count for the page: where the text
+    outside holds a long block and is twice as much, it counts too.
+    """
+    sizes, longest, run = [0, 0, 0], 0, 0
+    for region, x in events:
+        size = len(x.strip()) if x else 0
+        sizes[region] += size
+        run = 0 if x is None or region == 2 else run + size
+        longest = max(longest, run)
+    if sizes[2] and not (longest >= LONG and sizes[0] + sizes[1] >= 2 * sizes[2]):
+        return 2
+    return 1 if sizes[1] else 0
+
+
 def read(page: str, template: frozenset[bytes] = frozenset()) -> tuple[str, set[bytes]]:
     """(main text, hashes of the subtrees that could be template).
 
@@ -110,6 +134,7 @@ def read(page: str, template: frozenset[bytes] = frozenset()) -> tuple[str, set[
     stack = [root]
     named: list[tuple[int, int]] = []  # events of elements that go by their name, unless they hold the main text
     articles: list[tuple[int, int]] = []
+    places: dict[str, list[int]] = {}  # for each tag where it is open, the innermost last
 
     def cut(at: int) -> None:
         del events[at:]
@@ -119,6 +144,7 @@ def read(page: str, template: frozenset[bytes] = frozenset()) -> tuple[str, set[
 
     def close() -> None:
         own = stack.pop()
+        places[own.tag].pop()
         up = stack[-1]
         if own.drop:
             cut(own.where)
@@ -140,14 +166,20 @@ def read(page: str, template: frozenset[bytes] = frozenset()) -> tuple[str, set[
                 return
         if len(own.hashes) > 1:
             up.hashes.append(name)
-        if own.tag not in INLINE:
+        if own.tag not in INLINE and own.tag not in QUIET:
             events.append((own.region, None))
 
-    def opened(tag: str) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                return i
-        return 0
+    def opened(*tags: str) -> int:
+        """Where the innermost open element of these tags is; 0 for none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close_from(i: int) -> None:
+        while len(stack) > i:
+            close()
+
+    def in_line() -> bool:
+        """Whether the innermost element that is no part of a line is a paragraph or heading."""
+        return next((x.tag for x in reversed(stack) if x.tag not in INLINE), "") in LINES
 
     def text(raw: str) -> None:
         if raw:
@@ -172,46 +204,45 @@ def read(page: str, template: frozenset[bytes] = frozenset()) -> tuple[str, set[
         tag = tag.lower()
         if closing:
             if i := opened(tag):
-                while len(stack) > i:
-                    close()
+                close_from(i)
             elif tag == "br":
                 events.append((stack[-1].region, " "))
             continue
-        if tag in ENDS_P and (i := opened("p")) and not any(x.tag in ("button", "td", "th") for x in stack[i:]):
-            while len(stack) > i:
-                close()
+        if tag in ENDS_P and (i := opened("p")) and opened("button", "td", "th") < i:
+            close_from(i)
         if tag in SIBLINGS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SIBLINGS[tag]:
-                    break
-                if stack[i].tag == tag or {stack[i].tag, tag} in ({"dt", "dd"}, {"td", "th"}):
-                    while len(stack) > i:
-                        close()
-                    break
+            like = next((pair for pair in (("dt", "dd"), ("td", "th")) if tag in pair), (tag,))
+            if (i := opened(*like)) > opened(*SIBLINGS[tag]):
+                close_from(i)
         here = stack[-1]
-        if tag not in INLINE:
+        button = tag == "button" and not here.drop and in_line()
+        if tag not in INLINE and tag not in QUIET:
             events.append((here.region, None))
         if tag in VOID:
             if tag in ("br", "wbr") and tag == "br":
                 events.append((here.region, " "))
             continue
-        mark, drop, region = tag, tag in DROP_TAGS, here.region
+        mark, drop, region = tag, tag in DROP_TAGS and not button, here.region
+        said: dict[str, str] = {}
         words: set[str] = set()
         tokens: set[str] = set()
         by_name = False
         if attributes:
-            for _, a, b, c in _NAMED.findall(attributes):
-                said = (a or b or c).lower()
-                words.update(_WORD.findall(said))
-                tokens.update(said.split())
+            for name, a, b, c in _ATTRIBUTE.findall(attributes):
+                said.setdefault(name.lower(), a or b or c)
+            for name in ("class", "id", "role"):
+                value = said.get(name, "").lower()
+                words.update(_WORD.findall(value))
+                tokens.update(value.split())
             mark += " " + " ".join(sorted(words))
-            drop = drop or bool(_HIDDEN.search(attributes))
+            drop = drop or "hidden" in said or said.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(said.get("style", "")))
         if tag not in ("html", "body", "main") and not (tag == "article" and tokens.isdisjoint(("comment", "comments"))):
             by_name = any(_only(t, DROP_WORDS) or region == 0 and _only(t, DROP_WORDS | DROP_OUTSIDE) for t in tokens) or (region == 0 and tag == "header")
         if tag == "article":
             region = 2
-        elif region == 0 and (tag == "main" or "main" in words and 'role' in attributes.lower()):
+        elif region == 0 and (tag == "main" or said.get("role", "").lower() == "main"):
             region = 1
+        places.setdefault(tag, []).append(len(stack))
         stack.append(_Open(tag, len(events), drop, region, mark, by_name))
         if tag in RAW:
             close_at = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -225,7 +256,7 @@ def read(page: str, template: frozenset[bytes] = frozenset()) -> tuple[str, set[
     if named:
         gone = _going(events, named, articles)
         events = [(region, None) if gone[i] else (region, x) for i, (region, x) in enumerate(events)]
-    least = max((region for region, x in events if x and x.strip()), default=0)
+    least = _region(events)
     blocks, run = [], []
     for region, x in [*events, (least, None)]:
         if x is None:

@@ -453,3 +453,57 @@ def test_an_id_on_many_rows_is_one_lesson(spark):
     df = spark.createDataFrame([(1, f"row {i}") for i in range(300)] + [(2, "other text")], "doc_id long, text string")
     marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     assert len(quality.classify(df, marks).collect()) == 301
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article class='overflow hidden x'><p>one</p></article>", "one"),
+    ("<article class='hidden md:block'><p>one</p></article>", "one"),
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> b</p>", "a x=2 b"),
+    ("<p>Press <button>OK</button> to go</p><button>Buy</button>", "Press OK to go"),
+    ("<p>one <script>x()</script>two</p>", "one two"),
+    ("<div data-x='a hidden b'>seen</div><div hidden=''>not</div><div style='display: none'>not</div><div aria-hidden=true>not</div>", "seen"),
+    (f"<div>{BODY} {BODY} {BODY}</div><article>Teaser</article>", f"{BODY} {BODY} {BODY}\nTeaser"),
+    ("<table><tr><th>a<td>b<tr><td><table><tr><td>c</table>d</table>", "a\nb\nc\nd"),
+    ("<dl><dt>a<dd>b<dt>c</dl><ul><li>d<ul><li>e</ul><li>f</ul>", "a\nb\nc\nd\ne\nf"),
+])
+def test_html_names_controls_and_teasers(page, want):
+    assert html.read(page)[0] == want
+
+
+def test_html_long_pages_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    assert html.read("<div>" * 200_000 + "deep" + "<li>x</li>" * 50_000)[0].startswith("deep\nx")
+    assert html.read("<p><button>" + "<div>" * 100_000 + "deep")[0] == "deep"
+    assert len(html.read("<p>word</p>" * 300_000)[0]) == 5 * 300_000 - 1
+    assert time.perf_counter() - began < 60
+
+
+def brute_templates(pages, share, least):
+    """Hashes on so many of a host's pages of different text."""
+    hosts = defaultdict(dict)
+    for url, page in pages:
+        body, names = html.read(page)
+        hosts[re.match(r"\w+://([^/]+)", url)[1]].setdefault(body, set()).update(names)
+    out = {}
+    for host, bodies in hosts.items():
+        counts = Counter(n for names in bodies.values() for n in names)
+        if often := {n for n, c in counts.items() if c >= max(least, np.ceil(len(bodies) * share))}:
+            out[host] = often
+    return out
+
+
+def test_templates_match_brute_force(spark):
+    rng = np.random.default_rng(2)
+    boxes = [f"<div class='b{i}'><ul><li>Box {i}</li></ul></div>" for i in range(8)]
+    pages = []
+    for i in range(120):
+        picked = "".join(b for k, b in enumerate(boxes) if rng.random() < 0.05 * (k + 1))
+        pages.append((f"https://h{i % 3}.example/{i}", f"<body>{picked}<p>Story {rng.integers(60)}</p></body>"))
+    df = spark.createDataFrame([(i, u, p) for i, (u, p) in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    got = {r.host: set(map(bytes, r.template)) for r in html.templates(df).collect()}
+    want = brute_templates(pages, html.SHARE, html.LEAST)
+    assert got == want and all(want.values())
+    texts = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert texts == {i: html.read(p, frozenset(want.get(f"h{i % 3}.example", ())))[0] for i, (u, p) in enumerate(pages)}
