@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_within: ContextVar[str | None] = ContextVar("within", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    return f"{_within.get() or shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables stored inside go when the block ends; what is to last needs a path made before."""
+    path = new_path(spark, name)
+    mark = _within.set(path)
+    try:
+        yield
+    finally:
+        _within.reset(mark)
+        drop_stored(spark, path)
 
 
 def stored(df: DataFrame, name: str, path: str | None = None, codec: str = "zstd") -> DataFrame:

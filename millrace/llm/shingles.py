@@ -2,7 +2,11 @@
 
 Candidates come from min-hashing: 32 bands of 8 minima, so that a pair of
 similarity 0.8 meets in some band with a probability of 0.997, one of 0.4 with
-0.02.  Links are verified on the whole shingle sets.
+0.02.  Of what meets in a band every text has one candidate: the band's smallest
+hash if their sketches (a bit of each minimum) are alike, else the likest of
+those before it in the order of the sketches.  Candidates are verified on the
+whole shingle sets.  So a band of n texts costs n comparisons, whether they are
+copies or not.
 """
 
 from __future__ import annotations
@@ -17,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches, join_small, stored
 
 WIDTH, SIMILAR, BANDS, EACH = 5, 0.8, 32, 8
-#: Texts compared with one representative in one group.
-MEMBERS = 512
+#: Texts compared with one other in one group; texts of one band in one run.
+MEMBERS, RUN = 32, 256
+#: Bits of two sketches that may differ: 26 are expected at a similarity of 0.8, 45 are four deviations more.  Texts before it that a text is held against.
+APART, BEFORE = 45, 8
 _RNG = np.random.default_rng(5)
 _TIMES, _PLUS, _MIX = (_RNG.integers(0, 2**63, BANDS * EACH, np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(3))
 
@@ -31,16 +37,17 @@ def shingles(text: str | None, hasher, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([hasher(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))], np.uint64))
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """A key for each band; none without shingles."""
+def band_keys(own: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(a key for each band, a bit of each minimum); none without shingles."""
     if not len(own):
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), b""
     least = np.full(BANDS * EACH, np.iinfo(np.uint64).max)
     for at in range(0, len(own), 1024):
         x = own[at : at + 1024, None] * _TIMES[None] + _PLUS[None]
         np.minimum(least, x.min(0), out=least)
     least ^= least >> np.uint64(32)
-    return (least * _MIX).reshape(BANDS, EACH).sum(1, dtype=np.uint64).view(np.int64)
+    mixed = least * _MIX
+    return mixed.reshape(BANDS, EACH).sum(1, dtype=np.uint64).view(np.int64), np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).tobytes()
 
 
 def similar(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
@@ -107,33 +114,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.repartition("rep", "salt").sortWithinPartitions("rep", "salt", "side").mapInArrow(verify, "_h long, rep long, ok boolean")
 
 
-def links(docs: DataFrame, keys: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(u, v): hashes of texts that have a similarity of at least ``least``; their components are those of the pairs that meet in a band.
-
-    docs has _h, the hash of the text, and text; keys (_h, keys), stored, has
-    each text's band keys.  In every band each text is compared with the
-    smallest hash it meets there; those that are not similar to it are met among
-    themselves again, until none are left.  So a band of n like texts costs n
-    comparisons.  Missed is a pair of which in each common band one text, and
-    not the other, is similar to a third that came first.
-    """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    own = stored(keys.groupBy("_h").agg(F.first("keys").alias("keys")), "bands")
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which sketches, as rows of four numbers, differ."""
+    return np.bitwise_count(a ^ b).sum(-1)
+
 
-    def met(rows: DataFrame) -> DataFrame:
-        """rows (key, _h) that meet another, with the smallest, which is left out."""
-        reps = rows.groupBy("key").agg(F.min("_h").alias("rep"), F.max("_h").alias("most")).where("rep < most").select("key", "rep")
-        return stored(join_small(rows, stored(reps, "met"), ["key"], "inner").where("_h != rep"), "met")  # stored, so that the join can split a band's hot key
+def candidates(own: DataFrame) -> DataFrame:
+    """(_h, rep): for every text and band the candidate, if it has one.  own is (_h, keys, sketch), stored, with one row for each _h."""
+    turned = F.concat(F.expr("substring(sketch, band + 1)"), F.expr("substring(sketch, 1, band)"))  # each band has an order of its own
+    rows = own.select("_h", "sketch", F.posexplode("keys").alias("band", "key"))
+    met = rows.groupBy("key").agg(F.min(F.struct("_h", "sketch")).alias("first"), F.max("_h").alias("most"), F.count("*").alias("n")).where("first._h < most")
+    met = stored(met.select("key", F.col("first._h").alias("rep"), F.col("first.sketch").alias("rep_sketch"), "n"), "met")  # stored, so that the join can split a hot key
+    run = F.when(F.col("n") > RUN * 256, F.expr("substring(turned, 1, 2)")).when(F.col("n") > RUN, F.expr("substring(turned, 1, 1)"))  # a hot key's texts part where their order parts
+    held = join_small(rows, met, ["key"], "inner").withColumn("turned", turned).select("key", run.alias("run"), "turned", "_h", "sketch", "rep", "rep_sketch")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here = pa.Table.from_batches([batch] if left is None else [left, batch]).combine_chunks()
+            old = 0 if left is None else left.num_rows
+            left = here.slice(max(0, here.num_rows - BEFORE)).to_batches()[0]
+            h, key, rep = (here.column(c).to_numpy().astype(np.int64) for c in ("_h", "key", "rep"))
+            run = here.column("run").combine_chunks().dictionary_encode("encode")
+            run = run.indices.to_numpy(zero_copy_only=False)
+            own, first = (np.frombuffer(b"".join(here.column(c).to_pylist()), "<u8").reshape(-1, BANDS * EACH // 64) for c in ("sketch", "rep_sketch"))
+            best, apart = rep.copy(), np.where(h == rep, APART + 1, _apart(own, first))
+            far = np.flatnonzero((apart > APART) & (h != rep))
+            near = np.full(len(h), APART + 1)
+            for w in range(1, BEFORE + 1):
+                at = far[far >= w]
+                d = np.where((key[at] == key[at - w]) & (run[at] == run[at - w]), _apart(own[at], own[at - w]), APART + 1)
+                closer = d < near[at]
+                near[at[closer]], best[at[closer]] = d[closer], h[at[closer] - w]
+            apart[far] = near[far]
+            good = np.flatnonzero(apart <= APART)
+            good = good[good >= old]
+            yield pa.RecordBatch.from_arrays([pa.array(h[good]), pa.array(best[good])], names=["_h", "rep"])
+
+    dealt = held.repartition("key", "run").sortWithinPartitions("key", "run", "turned", "_h")
+    return dealt.mapInArrow(choose, "_h long, rep long").distinct()
 
-    rows = met(own.select("_h", F.explode("keys").alias("key")))
-    needed = stored(rows.select("_h").union(rows.select("rep")).distinct(), "needed")
+
+def links(docs: DataFrame, keys: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(u, v): hashes of candidate texts that have a similarity of at least ``least``.
+
+    docs has _h, the hash of the text, and text; keys (_h, keys, sketch), stored,
+    has each text's band keys and sketch.
+    """
+    bound_batches(docs.sparkSession)
+    own = stored(keys.where(F.size("keys") > 0).groupBy("_h").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "bands")
+    pairs = stored(candidates(own).select(F.greatest("_h", "rep").alias("_h"), F.least("_h", "rep").alias("rep")).distinct(), "pairs")
+    needed = stored(pairs.select("_h").union(pairs.select("rep")).distinct(), "needed")
     texts = stored(join_small(docs, needed, ["_h"], "left_semi").groupBy("_h").agg(F.first("text").alias("text")), "texts")
-    known = spark.createDataFrame([], "_h long, rep long, ok boolean")
-    while True:
-        asked = stored(rows.select("_h", "rep").distinct().join(known.select("_h", "rep"), ["_h", "rep"], "left_anti"), "pairs")
-        known = stored(known.unionByName(_verified(asked, texts, least)), "verified")
-        left = rows.join(known.where("NOT ok"), ["_h", "rep"], "left_semi").select("key", "_h")
-        rows = met(left)
-        if rows.isEmpty():
-            return known.where("ok").select(F.col("_h").alias("u"), F.col("rep").alias("v"))
+    return _verified(pairs, texts, least).where("ok").select(F.col("_h").alias("u"), F.col("rep").alias("v"))

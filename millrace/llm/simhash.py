@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bound_batches, col, fresh, join_small, stored
+from .common import bound_batches, col, fresh, join_small, new_path, scratch, stored
 from .graph import components
 
 #: Parts of a fingerprint, as (lowest bit, bits).
@@ -177,13 +177,20 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 def _classes(each: DataFrame, radius: int, more: DataFrame | None = None) -> DataFrame:
     """(fp, component_id, root): each is (doc_id, fp), stored; more are further links (u, v) of fingerprints."""
+    spark = each.sparkSession
+    path = new_path(spark, "components")
+    with scratch(spark, "classes"):
+        return _stored_classes(each, radius, more, path)
+
+
+def _stored_classes(each: DataFrame, radius: int, more: DataFrame | None, path: str) -> DataFrame:
     nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     near = stored(links(nodes.select("fp"), radius), "links")
     roots = components(near if more is None else near.unionByName(more))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
     named = stored(named.select("fp", "root", "least"), "rooted")
     names = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "names")  # stored, so that the join can split a large class
-    return stored(join_small(named, names, ["root"], "inner").select("fp", "component_id", "root"), "components")
+    return stored(join_small(named, names, ["root"], "inner").select("fp", "component_id", "root"), "components", path)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -211,7 +218,19 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4, least: float |
     """
     own = dict(zip(("_i", "_n", "_h"), fresh(docs.columns, "i", "n", "h")))
     keys = {"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_n": F.col("doc_id").isNull(), "_h": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
+    path = new_path(spark, "going")
+    with scratch(spark, "copies"):
+        rows = _going(docs, keys, width, radius, least, path).withColumnsRenamed(own)
+    marked, on = docs.withColumns({own[k]: x for k, x in keys.items()}), list(own.values())
+    kept = join_small(marked, rows.select(*on), on, "left_anti")
+    repeated = join_small(marked, rows.where("_stays").select(*on), on, "left_semi").dropDuplicates(on)
+    return kept.union(repeated).select(*map(col, docs.columns))
+
+
+def _going(docs: DataFrame, keys: dict[str, Column], width: int, radius: int, least: float | None, path: str) -> DataFrame:
+    """(_i, _n, _h, _stays), stored at path: the rows that go, and those that stay once though they are repeated."""
 
     def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -219,14 +238,14 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4, least: float |
         lanes, hasher = _lanes(), xxhash.xxh64_intdigest
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), width, hasher, lanes) for t in batch.column("text")), np.uint64, batch.num_rows)
-            keys = [None if least is None else shingles.band_keys(shingles.shingles(t.as_py(), hasher)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("_i"), batch.column("_n"), batch.column("_h"), pa.array(found.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["_i", "_n", "_h", "fp", "keys"])
+            bands = [(None, None) if least is None else shingles.band_keys(shingles.shingles(t.as_py(), hasher)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_i"), batch.column("_n"), batch.column("_h"), pa.array(found.view(np.int64)), pa.array([k for k, _ in bands], pa.list_(pa.int64())), pa.array([s for _, s in bands], pa.binary())], names=["_i", "_n", "_h", "fp", "keys", "sketch"])
 
     texts = docs.select(*[x.alias(k) for k, x in keys.items()], F.col("text").cast("string").alias("text"))
-    each = stored(texts.mapInArrow(each_row, "_i long, _n boolean, _h long, fp long, keys array<long>"), "fingerprints")
+    each = stored(texts.mapInArrow(each_row, "_i long, _n boolean, _h long, fp long, keys array<long>, sketch binary"), "fingerprints")
     more = None
     if least is not None:
-        found = stored(shingles.links(texts.select("_h", "text"), each.select("_h", "keys"), least), "similar")
+        found = stored(shingles.links(texts.select("_h", "text"), each.select("_h", "keys", "sketch"), least), "similar")
         for c in ("u", "v"):
             prints = each.select(F.col("_h").alias(c), F.col("fp").alias(f"_{c}")).distinct()
             found = found.join(prints, c)
@@ -236,9 +255,4 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4, least: float |
     rows = stored(rows, "rows")
     first = stored(rows.groupBy("root").agg(F.min(F.struct("_n", "_i", "_h")).alias("_f")), "first")  # stored, so that the join can split a large class
     rows = join_small(rows, first, ["root"], "inner").withColumn("_stays", F.struct("_n", "_i", "_h") == F.col("_f"))
-    rows = stored(rows.where(~F.col("_stays") | (F.col("_times") > 1)).select(*keys, "_stays"), "going")
-    rows = rows.withColumnsRenamed(own)
-    marked, on = docs.withColumns({own[k]: x for k, x in keys.items()}), list(own.values())
-    kept = join_small(marked, rows.select(*on), on, "left_anti")
-    repeated = join_small(marked, rows.where("_stays").select(*on), on, "left_semi").dropDuplicates(on)
-    return kept.union(repeated).select(*map(col, docs.columns))
+    return stored(rows.where(~F.col("_stays") | (F.col("_times") > 1)).select(*keys, "_stays"), "going", path)
