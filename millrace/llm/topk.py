@@ -134,17 +134,31 @@ def _turned(data: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return np.ascontiguousarray(r[:, :lead]), np.linalg.norm(r[:, lead:], axis=1), np.linalg.norm(data, axis=1)
 
 
-def _score(ids: np.ndarray, q: np.ndarray, bound: np.ndarray, data_ids: np.ndarray, data: np.ndarray, turned: tuple, own: tuple):
-    """(query number, vec_id, score) of the pairs that may reach the query's bound."""
+def _score(ids: np.ndarray, q: np.ndarray, bound: np.ndarray, data_ids: np.ndarray, data: np.ndarray, turned: tuple, own: tuple, k: int):
+    """(query number, vec_id, score) of the pairs that may reach the query's bound, which rises with what is found."""
     (x_lead, x_rest, x_all), (q_lead, q_rest, q_all) = turned, own
+    bound = bound.copy()
+    with np.errstate(over="ignore", invalid="ignore"):
+        whole = np.abs(q).max(initial=0) * np.abs(data).max(initial=0) * max(1, q.shape[1]) < 2.0**53  # products of doubles are exact integers
     for at in range(0, len(data), 1024):
         part = slice(at, at + 1024)
         with np.errstate(over="ignore", invalid="ignore"):
             slack = 1e-9 * (q_all[:, None] * x_all[None, part]) + 1e-6
             upper = q_lead @ x_lead[part].T + q_rest[:, None] * x_rest[None, part] + slack
-        who, what = np.nonzero(~(upper < bound[:, None]) & (ids[:, None] != data_ids[None, part]))  # what is not a number rules nothing out
-        for k in range(0, len(who), PAIRS):
-            a, b = who[k : k + PAIRS], what[k : k + PAIRS]
+        open_ = ~(upper < bound[:, None]) & (ids[:, None] != data_ids[None, part])  # what is not a number rules nothing out
+        rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        if not len(rows):
+            continue
+        if whole:
+            score = np.where(open_[np.ix_(rows, cols)], q[rows] @ data[part][cols].T, -np.inf)
+            who, what = np.nonzero(score >= np.maximum(bound[rows], -(2.0**62))[:, None])
+            yield rows[who], data_ids[part][cols[what]], score[who, what].astype(np.int64)
+            if len(cols) >= k:
+                bound[rows] = np.maximum(bound[rows], np.partition(score, len(cols) - k, axis=1)[:, len(cols) - k])
+            continue
+        who, what = np.nonzero(open_)
+        for n in range(0, len(who), PAIRS):
+            a, b = who[n : n + PAIRS], what[n : n + PAIRS]
             score = _exact(q[a], data[part][b])
             keep = score >= bound[a]
             yield a[keep], data_ids[part][b[keep]], score[keep]
@@ -242,7 +256,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
                 if (block := batch.column("block")[i].as_py()) != at:  # rows of a block stand side by side
                     at, turned = block, _turned(data, turn)
                 found = []
-                for some in _score(ids, q, bound, data_ids, data, turned, _turned(q, turn)):
+                for some in _score(ids, q, bound, data_ids, data, turned, _turned(q, turn), k):
                     found.append(some)
                     if sum(len(x[0]) for x in found) > 16 * PAIRS:
                         found = [_top(found, k)]
