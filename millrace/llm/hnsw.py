@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, stored
@@ -195,10 +195,13 @@ def search(index: Index, query_ids: np.ndarray, q: np.ndarray, k: int, beam: int
 
 def _banded(rows: DataFrame) -> DataFrame:
     """rows with band: the power of two of a vector's length, in steps of BAND."""
-    most = F.aggregate("v", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c)))
-    rows = rows.withColumn("most", most)
-    rest = F.aggregate("v", F.lit(0.0), lambda a, c: a + (c / F.col("most")) * (c / F.col("most")))
-    return rows.withColumn("band", F.floor((F.log2("most") + F.log2(rest) / 2 + BAND / 2) / BAND).cast("int")).drop("most")
+    most = F.array_max(F.transform("v", F.abs))
+
+    def band(m: Column) -> Column:
+        rest = F.aggregate("v", F.lit(0.0), lambda a, c: a + (c / m) * (c / m))
+        return F.floor((F.log2(m) + F.log2(rest) / 2 + BAND / 2) / BAND).cast("int")
+
+    return rows.withColumn("band", F.transform(F.array(most), band)[0])  # bound in an array, so that it is not computed for every component
 
 
 def build_index(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
