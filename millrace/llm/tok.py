@@ -9,6 +9,7 @@ distinct word of a batch is encoded once and the ids are gathered with numpy.
 from __future__ import annotations
 
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -87,9 +88,11 @@ class WordEncoder:
         """Positions in the cache of distinct words."""
         coded = words.dictionary_encode()
         distinct, known = coded.dictionary.to_pylist(), self.known
-        if new := [w for w in distinct if w not in known]:
-            self._learn(new)
-        own = np.fromiter((known[w] for w in distinct), np.int32, len(distinct))
+        own = np.fromiter(map(known.get, distinct, repeat(-1)), np.int32, len(distinct))
+        if len(new := np.flatnonzero(own < 0).tolist()):
+            words = [distinct[i] for i in new]
+            self._learn(words)
+            own[new] = [known[w] for w in words]
         return own[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,13 +108,15 @@ class WordEncoder:
         core = pc.utf8_rtrim(distinct, characters=TAIL)
         two = pc.match_substring_regex(core, PARTED)  # letters and a tail: two runs of the pre-tokenizer, whose ids follow one another
         core = pc.if_else(two, core, distinct)
-        tail = _after(distinct, core)
-        parts = np.stack((self._entries(core), self._entries(tail)), 1)
+        parts = np.zeros((len(distinct), 2), np.int32)  # the entry of no word is 0
+        parts[:, 0] = self._entries(core)
+        tailed = np.flatnonzero(pc.not_equal(pc.binary_length(distinct), pc.binary_length(core)).to_numpy(zero_copy_only=False))
+        parts[tailed, 1] = self._entries(pc.replace_substring_regex(distinct.take(tailed), PARTED[:-1], ""))
         start, length = np.frombuffer(self.start, np.int32), np.frombuffer(self.length, np.int32)
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
         part = parts[coded.indices.to_numpy(zero_copy_only=False)].ravel()
         bounds = 2 * (bounds - bounds[0])
-        del words, coded, distinct, core, tail, parts
+        del words, coded, distinct, core, parts
         counts = length[part]
         ends = np.zeros(len(part) + 1, np.int64)
         np.cumsum(counts, out=ends[1:])
@@ -120,14 +125,6 @@ class WordEncoder:
         return flat[at], ends[bounds]
 
 
-def _after(words: pa.Array, heads: pa.Array) -> pa.Array:
-    """What follows each head in its word."""
-    at = np.flatnonzero(pc.not_equal(pc.binary_length(words), pc.binary_length(heads)).to_numpy(zero_copy_only=False))
-    out = np.full(len(words), "", object)
-    out[at] = [w[len(h) :] for w, h in zip(words.take(at).to_pylist(), heads.take(at).to_pylist())]
-    return pa.array(out, pa.large_string())
-
-
 def slices(batch: pa.RecordBatch, column: str = "text"):
     """The batch in runs of rows of at most SLICE_BYTES of text (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
