@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, join_small, new_path, stored
+from .common import bound_batches, input_bytes, join_small, new_path, stored
 from .tok import WordEncoder, default_tokenizer_path, slices
 
 #: Ids the rolling hash looks at; zero bits at a cut (a chunk has 2**9 ids on average); least and most ids of a chunk.
@@ -28,6 +28,8 @@ WINDOW, ZERO_BITS, LEAST, MOST = 16, 9, 128, 2048
 NAME = 16
 #: Names of chunks that one task remembers having sent.
 SENT = 200_000
+#: Bytes of the input for each partition of chunks: bounds the names that one task holds (about 26 MB of them).
+PART_BYTES = 256 << 20
 OBJECT = "key long, chunk binary, n long, payload binary, doc_id long, chunks binary"
 
 
@@ -115,7 +117,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
                 yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=list(out))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # names of one partition's chunks
+        seen: set[bytes] = set()  # names of one partition's chunks: PART_BYTES bounds them
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for i, name in enumerate(batch.column("chunk").to_pylist()):
@@ -125,7 +127,9 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
             yield batch.filter(pa.array(keep))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    objects = texts.mapInArrow(encode, OBJECT).repartition("key").mapInArrow(once, OBJECT)
+    parts = -(-input_bytes(docs) // PART_BYTES)
+    more = [parts] if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else []  # else as the session has it
+    objects = texts.mapInArrow(encode, OBJECT).repartition(*more, "key").mapInArrow(once, OBJECT)
     objects.write.option("compression", "zstd").parquet(f"{path}/objects")
 
     recipes = spark.read.parquet(f"{path}/objects").where("chunks IS NOT NULL").select("doc_id", F.col("n").alias("n_tokens"), "chunks")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import html, mixing, packing, quality, secrets, sharding, store, tok
-from millrace.llm.common import stored
+from millrace.llm.common import input_bytes, stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, shard string"
 HARD = [None, "", " \n\t", "héllo  wOrld's  x y <|endoftext|>foo it's 12 \x1c a\x85b é ́x ΑΣ Σ İa ªb a.,b foo..., FOO!! &&& é%%% abc<|endoftext|> x's. a-b- (x) ',' 're. 3. ÀÉ_", "word " * 9000, "😀 漢字 ok"]
@@ -135,6 +135,19 @@ def test_store_round_trip(spark, docs, tokenizer, tmp_path):
     assert chunks.count() == chunks.select("chunk").distinct().count()
 
 
+def test_store_in_more_partitions(spark, docs, tokenizer, tmp_path, monkeypatch):
+    """The input's bytes set the number of partitions; chunks are stored once and documents are whole all the same."""
+    read = stored(docs, "docs")
+    size = input_bytes(read)
+    assert 0 < size < 1 << 30 and input_bytes(docs) == 0  # of rows made in Python nothing is known
+    monkeypatch.setattr(store, "PART_BYTES", -(-size // 16))
+    path = f"file://{tmp_path}/parted"
+    got = store.round_trip(read, path=path).collect()
+    names = [r.chunk for r in spark.read.parquet(f"{path}/objects").where("chunk IS NOT NULL").select("chunk").collect()]
+    assert len(names) == len(set(names)) and names
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((r.doc_id, crc(ids_of(tokenizer, r.text, 2))) for r in docs.collect())
+
+
 def test_store_of_nothing(spark, docs):
     assert store.round_trip(docs.limit(0)).count() == 0
 
