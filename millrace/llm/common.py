@@ -84,8 +84,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
     """small is stored already; it is broadcast if its values are counted few bytes, else both sides are shuffled (skewed keys are split by AQE)."""
+    return big.join(F.broadcast(small) if may_broadcast(small) else small.hint("merge"), on, how)
+
+
+def may_broadcast(small: DataFrame) -> bool:
+    """Whether the values of a stored table are counted few bytes."""
     width = sum((_bytes(col(f.name), f.dataType) for f in small.schema.fields), F.lit(0).cast("long"))
-    return big.join(F.broadcast(small) if (small.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else small.hint("merge"), on, how)
+    return (small.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def _bytes(value: Column, kind: T.DataType) -> Column:
