@@ -1,12 +1,20 @@
 """Near copies by the exact Jaccard similarity of their five-word shingles.
 
-Candidates come from min-hashing: 32 bands of 8 minima, so that a pair of
-similarity 0.8 meets in some band with a probability of 0.997, one of 0.4 with
-0.02.  Of what meets in a band every text has one candidate: the band's smallest
-hash if their sketches (a bit of each minimum) are alike, else the likest of
-those before it in the order of the sketches.  Candidates are verified on the
-whole shingle sets.  So a band of n texts costs n comparisons, whether they are
-copies or not.
+First come quick links, by min-hashing: 32 bands of 8 minima.  Of what meets in a
+band every text has one candidate: the band's smallest hash if their sketches (a
+bit of each minimum) are alike, else the likest of those before it in the order
+of the sketches.  So a band of n texts costs n comparisons, and copies fall into
+classes.
+
+Then come all other pairs, exactly.  In any one order of all shingles, here the
+rarest first, two sets of n and m shingles with a similarity of at least 0.8 share
+one of the first n - ceil(0.8 n) + 1 of one and of the first m - ceil(0.8 m) + 1 of
+the other.  Texts of different classes that meet on such a shingle are candidates
+unless a bound that holds for all similar pairs rules them out: their sizes, what
+is left behind the shared shingle, the bits in which the parities of their
+shingles differ.  No pair is capped or missed.
+
+All candidates are verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -19,12 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, join_small, stored
+from .graph import components
 
 WIDTH, SIMILAR, BANDS, EACH = 5, 0.8, 32, 8
 #: Texts compared with one other in one group; texts of one band in one run.
 MEMBERS, RUN = 32, 256
 #: Bits of two sketches that may differ: 26 are expected at a similarity of 0.8, 45 are four deviations more.  Texts before it that a text is held against.
 APART, BEFORE = 45, 8
+#: Bits of a text's parities; groups of shingles that are counted for their order, as bits of the hash.
+PARITIES, GROUP_BITS = 512, 18
+#: Texts on one shingle that are compared in one task; of more, each pair of such parts is a group of its own.
+MEET = 2048
 _RNG = np.random.default_rng(5)
 _TIMES, _PLUS, _MIX = (_RNG.integers(0, 2**63, BANDS * EACH, np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(3))
 
@@ -50,6 +63,11 @@ def band_keys(own: np.ndarray) -> tuple[np.ndarray, bytes]:
     return mixed.reshape(BANDS, EACH).sum(1, dtype=np.uint64).view(np.int64), np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).tobytes()
 
 
+def parities(own: np.ndarray) -> bytes:
+    """For each of PARITIES groups of shingles whether their number is odd: sets that differ in d shingles differ in d bits at most."""
+    return np.packbits(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).tobytes()
+
+
 def similar(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
     """Links that join what hangs together by pairs at least so similar; each set is expanded once, over those that are not linked yet."""
     size = np.array([len(s) for s in sets])
@@ -157,15 +175,161 @@ def candidates(own: DataFrame) -> DataFrame:
     return dealt.mapInArrow(choose, "_h long, rep long").distinct()
 
 
+def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(_h, shingles) of each text that a task has not met before."""
+    import xxhash
+
+    seen = set()
+    for batch in batches:
+        for h, text in zip(batch.column("_h").to_pylist(), batch.column("text")):
+            if h not in seen:
+                seen.add(h)
+                yield h, shingles(text.as_py(), xxhash.xxh64_intdigest)
+
+
+def _order(docs: DataFrame) -> np.ndarray:
+    """For each group of shingles the logarithm of their number: rare ones come first.  Any order is exact, this one makes few meetings."""
+    size = 1 << GROUP_BITS - 6
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n = np.zeros(1 << GROUP_BITS, np.int64), [], 0
+        for _, own in _new_sets(batches):
+            held.append((own >> np.uint64(64 - GROUP_BITS)).astype(np.int64))
+            n += len(own)
+            if n > 1 << 20:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in total.reshape(64, size)], pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()).tobytes()], pa.binary())})
+
+    out = np.zeros((64, size), np.int64)
+    for r in docs.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        out[r.part] = np.frombuffer(r.counts, np.int64)
+    return np.log2(out.ravel() + 1).astype(np.uint8)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], on: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches as arrays, cut only where the first ``on`` columns change."""
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now = now if left is None else [np.concatenate(x) for x in zip(left, now)]
+        last = int(_starts(now[:on])[-1])
+        if last:
+            yield [x[:last] for x in now]
+        left = [x[last:].copy() for x in now]
+    if left is not None:
+        yield left
+
+
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+
+
+def meetings(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(token, _h, pos, n): the shingles that stand among the first of several texts, with their place in each and the number of these texts."""
+    order, least = _order(docs), least - 2e-9
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            sizes = [len(x) for _, x in rows]
+            at = [np.concatenate([np.arange(n) for n in sizes]).astype(np.int32), np.repeat(np.array([h for h, _ in rows], np.int64), sizes), np.concatenate([x for _, x in rows]).view(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in at[::-1]], names=["token", "_h", "pos"])
+
+        rows, n = [], 0
+        for h, own in _new_sets(batches):
+            if len(own):
+                by = np.lexsort((own, order[(own >> np.uint64(64 - GROUP_BITS)).astype(np.int64)]))
+                rows.append((h, own[by[: len(own) - int(np.ceil(least * len(own))) + 1]]))
+                n += len(rows[-1][1])
+                if n > 1 << 17:
+                    yield told(rows)
+                    rows, n = [], 0
+        if rows:
+            yield told(rows)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, h, pos in _runs(batches, 1):
+            once = _starts([token, h])  # copies of a text in several tasks
+            token, h, pos = token[once], h[once], pos[once]
+            at = _starts([token])
+            n = np.diff(np.concatenate((at, [len(token)])))
+            n = np.repeat(n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(x[n > 1]) for x in (token, h, pos, n)], names=["token", "_h", "pos", "n"])
+
+    rows = docs.mapInArrow(first, "token long, _h long, pos int").repartition("token").sortWithinPartitions("token", "_h")
+    return rows.mapInArrow(meet, "token long, _h long, pos int, n long")
+
+
+def rest(met: DataFrame, own: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(_h, rep): all pairs of different roots that meet and are not ruled out.  met is that of meetings(), own, stored, (_h, root, size, parities)."""
+    parts = F.ceil(F.col("n") / MEET).cast("int")
+    held = join_small(met, own, ["_h"], "inner").withColumn("part", F.pmod(F.xxhash64("_h", F.lit(2)), parts).cast("int"))
+    held = held.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).select("token", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "size", "_h", "root", "pos", "parities")
+    least = least - 2e-9
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(found: list[np.ndarray]) -> pa.RecordBatch:
+            two = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(two[:, 1]), pa.array(two[:, 0])], names=["_h", "rep"])
+
+        for token, a, b, size, h, root, pos, bits in _runs(batches, 3):
+            if len(h) < 2:
+                continue
+            size, pos = size.astype(np.int64), pos.astype(np.int64)
+            bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(h), -1)
+            start = _starts([token, a, b])
+            group = np.repeat(np.arange(len(start)), np.diff(np.concatenate((start, [len(h)]))))
+            at, apart, found, n = np.arange(len(h)), 0, [], 0
+            while len(at):  # every row against the one so far behind it, while that is of its group and not too large
+                apart += 1
+                at = at[at + apart < len(h)]
+                at = at[(group[at] == group[at + apart]) & (least * size[at + apart] <= size[at])]
+                i, j = at, at + apart
+                i, j = (x[(root[i] != root[j])] for x in (i, j))
+                wanted = np.ceil(least / (1 + least) * (size[i] + size[j])).astype(np.int64)  # shingles that similar sets of these sizes share
+                good = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= wanted
+                i, j, wanted = i[good], j[good], wanted[good]
+                good = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= size[i] + size[j] - 2 * wanted
+                if good.any():
+                    i, j = h[i[good]], h[j[good]]
+                    found.append(np.stack((np.minimum(i, j), np.maximum(i, j)), 1))
+                    n += len(i)
+                    if n > 1 << 20:
+                        yield told(found)
+                        found, n = [], 0
+            if found:
+                yield told(found)
+
+    dealt = held.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "size")
+    return dealt.mapInArrow(pairs, "_h long, rep long").distinct()
+
+
+def _similar_pairs(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(u, v), stored: those of the pairs (_h, rep) that are so similar."""
+    pairs = stored(pairs, "pairs")
+    needed = stored(pairs.select("_h").union(pairs.select("rep")).distinct(), "needed")
+    texts = stored(join_small(docs, needed, ["_h"], "left_semi").groupBy("_h").agg(F.first("text").alias("text")), "texts")
+    return stored(_verified(pairs, texts, least).where("ok").select(F.col("_h").alias("u"), F.col("rep").alias("v")), "similar")
+
+
 def links(docs: DataFrame, keys: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(u, v): hashes of candidate texts that have a similarity of at least ``least``.
+    """(u, v): hashes of texts with a similarity of at least ``least``; the components are those of all such pairs.
 
-    docs has _h, the hash of the text, and text; keys (_h, keys, sketch), stored,
-    has each text's band keys and sketch.
+    docs has _h, the hash of the text, and text; keys (_h, keys, sketch, size,
+    parities), stored, has what band_keys() and parities() make of each text.
     """
     bound_batches(docs.sparkSession)
-    own = stored(keys.where(F.size("keys") > 0).groupBy("_h").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "bands")
-    pairs = stored(candidates(own).select(F.greatest("_h", "rep").alias("_h"), F.least("_h", "rep").alias("rep")).distinct(), "pairs")
-    needed = stored(pairs.select("_h").union(pairs.select("rep")).distinct(), "needed")
-    texts = stored(join_small(docs, needed, ["_h"], "left_semi").groupBy("_h").agg(F.first("text").alias("text")), "texts")
-    return _verified(pairs, texts, least).where("ok").select(F.col("_h").alias("u"), F.col("rep").alias("v"))
+    own = stored(keys.where(F.size("keys") > 0).groupBy("_h").agg(*[F.first(c).alias(c) for c in ("keys", "sketch", "size", "parities")]), "bands")
+    quick = _similar_pairs(docs, candidates(own).select(F.greatest("_h", "rep").alias("_h"), F.least("_h", "rep").alias("rep")).distinct(), least)
+    roots = stored(components(quick), "roots")
+    own = own.select("_h", "size", "parities").join(roots.withColumnRenamed("node", "_h"), "_h", "left").withColumn("root", F.coalesce("root", "_h"))
+    met = stored(meetings(docs, least), "meetings")
+    return quick.unionByName(_similar_pairs(docs, rest(met, stored(own, "classes"), least), least))
