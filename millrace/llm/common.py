@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 ARROW_BATCH_BYTES = 8 << 20
 #: Bytes of a stored table's values up to which it may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Whether Spark deletes a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 _own: dict[str, str] = {}
@@ -55,10 +57,15 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
 
 
 def stored(df: DataFrame, name: str, path: str | None = None, codec: str = "zstd") -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, and no later step computes it twice."""
+    """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, no later step computes it twice, and its shuffle files go at once."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,9 @@ unless a bound that holds for all similar pairs rules them out: their sizes, wha
 is left behind the shared shingle, the bits in which the parities of their
 shingles differ.  No pair is capped or missed.
 
-All candidates are verified on the whole shingle sets.
+All candidates meet once more by parities of at least twice as many bits as they
+have shingles, which rule nearly all dissimilar pairs out at a small part of the
+texts' bytes.  Those left are verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, join_small, stored
+from .common import bound_batches, join_small, new_path, scratch, stored
 from .graph import components
 
 WIDTH, SIMILAR, BANDS, EACH = 5, 0.8, 32, 8
@@ -68,6 +70,20 @@ def parities(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).tobytes()
 
 
+def wide_parities(own: np.ndarray) -> bytes:
+    """Parities of PARITIES groups, or of the power of two from twice the number of shingles on; a group is the hash's low bits."""
+    bits = max(PARITIES, 1 << (2 * len(own)).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def wide_apart(one: bytes, other: bytes) -> int:
+    """Bits in which two wide parities differ, the longer one folded to the shorter: no more than the shingles in which the sets do."""
+    a, b = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def similar(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
     """Links that join what hangs together by pairs at least so similar; each set is expanded once, over those that are not linked yet."""
     size = np.array([len(s) for s in sets])
@@ -140,11 +156,13 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def candidates(own: DataFrame) -> DataFrame:
     """(_h, rep): for every text and band the candidate, if it has one.  own is (_h, keys, sketch), stored, with one row for each _h."""
     turned = F.concat(F.expr("substring(sketch, band + 1)"), F.expr("substring(sketch, 1, band)"))  # each band has an order of its own
-    rows = own.select("_h", "sketch", F.posexplode("keys").alias("band", "key"))
-    met = rows.groupBy("key").agg(F.min(F.struct("_h", "sketch")).alias("first"), F.max("_h").alias("most"), F.count("*").alias("n")).where("first._h < most")
-    met = stored(met.select("key", F.col("first._h").alias("rep"), F.col("first.sketch").alias("rep_sketch"), "n"), "met")  # stored, so that the join can split a hot key
+    rows = own.select("_h", F.posexplode("keys").alias("band", "key"))
+    met = rows.groupBy("key").agg(F.min("_h").alias("rep"), F.max("_h").alias("most"), F.count("*").alias("n")).where("rep < most")
+    sketches = own.select("_h", "sketch")  # joined when the keys are few: most keys are of one text
+    met = join_small(met.drop("most"), sketches.withColumnsRenamed({"_h": "rep", "sketch": "rep_sketch"}), ["rep"], "inner")
+    met = stored(met, "met")  # stored, so that the join can split a hot key
     run = F.when(F.col("n") > RUN * 256, F.expr("substring(turned, 1, 2)")).when(F.col("n") > RUN, F.expr("substring(turned, 1, 1)"))  # a hot key's texts part where their order parts
-    held = join_small(rows, met, ["key"], "inner").withColumn("turned", turned).select("key", run.alias("run"), "turned", "_h", "sketch", "rep", "rep_sketch")
+    held = join_small(join_small(rows, met, ["key"], "inner"), sketches, ["_h"], "inner").withColumn("turned", turned).select("key", run.alias("run"), "turned", "_h", "sketch", "rep", "rep_sketch")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -312,24 +330,52 @@ def rest(met: DataFrame, own: DataFrame, least: float = SIMILAR) -> DataFrame:
     return dealt.mapInArrow(pairs, "_h long, rep long").distinct()
 
 
-def _similar_pairs(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """(u, v), stored: those of the pairs (_h, rep) that are so similar."""
-    pairs = stored(pairs, "pairs")
-    needed = stored(pairs.select("_h").union(pairs.select("rep")).distinct(), "needed")
-    texts = stored(join_small(docs, needed, ["_h"], "left_semi").groupBy("_h").agg(F.first("text").alias("text")), "texts")
-    return stored(_verified(pairs, texts, least).where("ok").select(F.col("_h").alias("u"), F.col("rep").alias("v")), "similar")
+def not_ruled_out(pairs: DataFrame, wide: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Those of the pairs (_h, rep) whose wide parities let them be so similar.  wide, stored, is (_h, size, wide) with one row for each _h."""
+    both = join_small(pairs, wide, ["_h"], "inner")
+    both = join_small(both, wide.withColumnsRenamed({"_h": "rep", "size": "rep_size", "wide": "rep_wide"}), ["rep"], "inner")
+    least = least - 2e-9
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("size").to_numpy().astype(np.int64) + batch.column("rep_size").to_numpy()
+            most = sizes - 2 * np.ceil(least / (1 + least) * sizes).astype(np.int64)
+            apart = np.array([wide_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("wide"), batch.column("rep_wide"))], np.int64)
+            yield batch.select(["_h", "rep"]).filter(pa.array(apart <= most))
+
+    return both.select("_h", "rep", "size", "rep_size", "wide", "rep_wide").mapInArrow(near, "_h long, rep long")
+
+
+def _similar_pairs(docs: DataFrame, keys: DataFrame, pairs: DataFrame, least: float, path: str) -> DataFrame:
+    """(u, v), stored at path: those of the pairs (_h, rep) that are so similar."""
+
+    def of(pairs: DataFrame, df: DataFrame) -> DataFrame:
+        """The rows of df whose text is in a pair, one for each text."""
+        needed = stored(pairs.select("_h").union(pairs.select("rep")).distinct(), "needed")
+        return join_small(df, needed, ["_h"], "left_semi").groupBy("_h").agg(*[F.first(c).alias(c) for c in df.columns if c != "_h"])
+
+    with scratch(docs.sparkSession, "verify"):
+        pairs = stored(pairs, "pairs")
+        pairs = stored(not_ruled_out(pairs, stored(of(pairs, keys.select("_h", "size", "wide")), "wide"), least), "pairs")
+        texts = stored(of(pairs, docs), "texts")
+        return stored(_verified(pairs, texts, least).where("ok").select(F.col("_h").alias("u"), F.col("rep").alias("v")), "similar", path)
 
 
 def links(docs: DataFrame, keys: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(u, v): hashes of texts with a similarity of at least ``least``; the components are those of all such pairs.
 
     docs has _h, the hash of the text, and text; keys (_h, keys, sketch, size,
-    parities), stored, has what band_keys() and parities() make of each text.
+    parities, wide), stored, has what band_keys(), parities() and
+    wide_parities() make of each text.
     """
-    bound_batches(docs.sparkSession)
-    own = stored(keys.where(F.size("keys") > 0).groupBy("_h").agg(*[F.first(c).alias(c) for c in ("keys", "sketch", "size", "parities")]), "bands")
-    quick = _similar_pairs(docs, candidates(own).select(F.greatest("_h", "rep").alias("_h"), F.least("_h", "rep").alias("rep")).distinct(), least)
-    roots = stored(components(quick), "roots")
-    own = own.select("_h", "size", "parities").join(roots.withColumnRenamed("node", "_h"), "_h", "left").withColumn("root", F.coalesce("root", "_h"))
-    met = stored(meetings(docs, least), "meetings")
-    return quick.unionByName(_similar_pairs(docs, rest(met, stored(own, "classes"), least), least))
+    spark = docs.sparkSession
+    bound_batches(spark)
+    first, second = new_path(spark, "similar"), new_path(spark, "similar")
+    with scratch(spark, "links"):
+        own = stored(keys.where(F.size("keys") > 0).groupBy("_h").agg(*[F.first(c).alias(c) for c in ("keys", "sketch", "size", "parities")]), "bands")
+        quick = candidates(own).select(F.greatest("_h", "rep").alias("_h"), F.least("_h", "rep").alias("rep")).distinct()
+        quick = _similar_pairs(docs, keys, quick, least, first)
+        roots = stored(components(quick), "roots")
+        own = own.select("_h", "size", "parities").join(roots.withColumnRenamed("node", "_h"), "_h", "left").withColumn("root", F.coalesce("root", "_h"))
+        met = stored(meetings(docs, least), "meetings")
+        return quick.unionByName(_similar_pairs(docs, keys, rest(met, stored(own, "classes"), least), least, second))

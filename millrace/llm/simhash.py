@@ -239,15 +239,15 @@ def _going(docs: DataFrame, keys: dict[str, Column], width: int, radius: int, le
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), width, hasher, lanes) for t in batch.column("text")), np.uint64, batch.num_rows)
             sets = [None if least is None else shingles.shingles(t.as_py(), hasher) for t in batch.column("text")]
-            bands = [(None,) * 4 if own is None else (*shingles.band_keys(own), len(own), shingles.parities(own)) for own in sets]
-            own = [pa.array([x[i] for x in bands], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("_i"), batch.column("_n"), batch.column("_h"), pa.array(found.view(np.int64)), *own], names=["_i", "_n", "_h", "fp", "keys", "sketch", "size", "parities"])
+            bands = [(None,) * 5 if own is None else (*shingles.band_keys(own), len(own), shingles.parities(own), shingles.wide_parities(own)) for own in sets]
+            own = [pa.array([x[i] for x in bands], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("_i"), batch.column("_n"), batch.column("_h"), pa.array(found.view(np.int64)), *own], names=["_i", "_n", "_h", "fp", "keys", "sketch", "size", "parities", "wide"])
 
     texts = docs.select(*[x.alias(k) for k, x in keys.items()], F.col("text").cast("string").alias("text"))
-    each = stored(texts.mapInArrow(each_row, "_i long, _n boolean, _h long, fp long, keys array<long>, sketch binary, size int, parities binary"), "fingerprints")
+    each = stored(texts.mapInArrow(each_row, "_i long, _n boolean, _h long, fp long, keys array<long>, sketch binary, size int, parities binary, wide binary"), "fingerprints")
     more = None
     if least is not None:
-        found = stored(shingles.links(texts.select("_h", "text"), each.select("_h", "keys", "sketch", "size", "parities"), least), "similar")
+        found = stored(shingles.links(texts.select("_h", "text"), each.select("_h", "keys", "sketch", "size", "parities", "wide"), least), "similar")
         for c in ("u", "v"):
             prints = each.select(F.col("_h").alias(c), F.col("fp").alias(f"_{c}")).distinct()
             found = found.join(prints, c)
